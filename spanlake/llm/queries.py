@@ -23,7 +23,9 @@ def _days(spark: SparkSession, d: str, name: str, value) -> DataFrame:
     return quantiles.build_sketches(table(spark, d, name), {"contig": plain_contig("contig"), "day": F.to_date("loaded_at")}, value)
 
 
-_MAPQ = F.when(F.col("mapq") != 255, F.col("mapq"))
+def _mapq():
+    """255 says that there is none."""
+    return F.when(F.col("mapq") != 255, F.col("mapq"))
 
 
 def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +38,7 @@ def p5_coverage_days(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_mapq(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.merge_sketches(_days(spark, d, "alignment", _MAPQ), ["contig"]))
+    return quantiles.percentiles(quantiles.merge_sketches(_days(spark, d, "alignment", _mapq()), ["contig"]))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
