@@ -37,10 +37,11 @@ def aligned_blocks(start: Column | str, cigar: Column | str) -> Column:
     return F.when(cigar.isNull(), F.array().cast(block)).when(F.length(simple) > 0, one).otherwise(folded)
 
 
-def index_in_read(blocks: Column, position: Column) -> Column:
-    """Where in the read (from 0) a reference position stands, by its ``aligned_blocks``; null in a deletion, a skip or outside."""
+def indices_in_read(blocks: Column, position: Column) -> Column:
+    """Array of where in the read (from 0) a reference position stands, by its ``aligned_blocks``: one index, or none in a
+    deletion, a skip or outside."""
     at = F.filter(blocks, lambda b: (b["s"] <= position) & (b["e"] >= position))
-    return F.get(F.transform(at, lambda b: b["i"] + position - b["s"]), 0)
+    return F.transform(at, lambda b: b["i"] + position - b["s"])
 
 
 def cigar_ops(cigar: str | None) -> list[tuple[int, str]]:

@@ -41,7 +41,8 @@ def _changes(spans: DataFrame, by: list[str], s: Column, e: Column) -> DataFrame
 def depth_blocks(changes: DataFrame, by: list[str], keep_zero: bool = False) -> DataFrame:
     """``by``, ``pos_start``, ``pos_end``, ``coverage`` from rows ``by``, ``p``, ``d`` (change of depth at p), ``cut`` (1: a block begins here in any case)."""
     points = changes.groupBy(*by, "p").agg(F.sum("d").alias("d"), F.max("cut").alias("cut")).where((F.col("d") != 0) | (F.col("cut") == 1)).drop("cut")
-    points = points.withColumn("_tile", F.shiftright("p", TILE_BITS))
+    # never null, so that no null test is pushed into one use of the points alone: both uses share one shuffle
+    points = points.withColumn("_tile", F.shiftright(F.coalesce("p", F.lit(0)), TILE_BITS))
     order = Window.partitionBy(*by).orderBy("_tile")
     tiles = (
         points.groupBy(*by, "_tile").agg(F.sum("d").alias("_sum"), F.min("p").alias("_first"))

@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.alignment import aligned_blocks, index_in_read, mismatches
+from spanlake.functions.alignment import aligned_blocks, indices_in_read, mismatches
 from spanlake.functions.contigs import plain_contig
 from spanlake.functions.quality import alt_total
 from spanlake.operators.coverage import FILTER_FLAG, aligned_changes, depth_blocks, usable
 from spanlake.operators.intervals import interval_join
+from spanlake.tables import checkpointed
 
 MAX_QUALITY = 40
 REVERSE = 16
@@ -64,8 +65,8 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     ``tag_md``; one without an MD tag only adds depth. Null bases or qualities are left out of ``quals``.
     """
     reads = usable(reads, filter_flag, min_mapq)
-    counts = mismatch_counts(reads)
-    alts = counts.groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("base", "n"))).alias("alts"), F.max("ref").alias("alt_ref"))
+    alts = mismatch_counts(reads).groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("base", "n"))).alias("alts"), F.max("ref").alias("alt_ref"))
+    alts = checkpointed(alts)  # a row for each differing position: written once, instead of reading all tags for each use
     cuts = alts.select("contig", F.explode(F.array("pos", F.col("pos") + 1)).alias("p"), F.lit(0).alias("d"), F.lit(1).alias("cut"))
     blocks = depth_blocks(aligned_changes(reads, ["contig"]).union(cuts), ["contig"])
     rows = blocks.join(alts.withColumnRenamed("pos", "pos_start"), ["contig", "pos_start"], "left")
@@ -76,7 +77,7 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     if quals:
         points = alts.select("contig", "pos", "alt_ref")
         plain = reads.select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", aligned_blocks("pos_start", "cigar").alias("_b"), "seq", "qual", "flag").dropna()
-        at = interval_join(plain, points, right_span=("pos", "pos"), bin_size=256).withColumn("_i", index_in_read(F.col("_b"), F.col("pos")) + 1)
+        at = interval_join(plain, points, right_span=("pos", "pos"), bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
         own = F.upper(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
         base = F.when((F.col("flag").bitwiseAND(REVERSE) != 0) & (own != F.col("alt_ref")), F.lower(own)).otherwise(own)
         q = F.ascii(F.substring(F.col("qual"), F.col("_i"), F.lit(1))) - 33

@@ -55,6 +55,8 @@ class FastqReader(DataSourceReader):
         return pieces([p for p in paths if self.samples is None or sample_of(p) in self.samples], int(self.options.get("splitSize", SPLIT)))
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks so where no file is left
+            return
         sample, rows = sample_of(partition.path), []
         shape = pa.schema([_FASTQ.field(c) for c in self.columns])
         with open(partition.path, "rb") as f:
@@ -117,6 +119,8 @@ class FastaReader(DataSourceReader):
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks so where no file is left
+            return
         bare = lambda n: "MT" if (b := n.split()[0].removeprefix("chr")) == "M" else b
 
         def batch(contig: str, start: int, bases: str) -> pa.RecordBatch:
