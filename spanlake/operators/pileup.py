@@ -1,6 +1,6 @@
 """Pileup: depth in blocks, with a row of its own for each position where a read differs from the reference.
 
-Mismatches come from the MD tag, read by read, in Arrow batches; from there on everything is a DataFrame. Mismatches are
+Mismatches come from the MD tag: by JVM expressions for reads that are one aligned stretch, in Arrow batches for the rest. Mismatches are
 counted per position and base before they are gathered, so a map holds at most the letters of a sequence. Blocks are the
 blocks of the coverage, cut at the mismatch positions. Base qualities are looked up only where there is a mismatch, by a
 binned join of the reads with these positions; the place in the read comes from the CIGAR string by JVM expressions.
@@ -8,11 +8,10 @@ binned join of the reads with these positions; the place in the read comes from
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from spanlake.functions.alignment import aligned_blocks, indices_in_read, mismatches
 from spanlake.functions.contigs import plain_contig
@@ -25,21 +24,40 @@ MAX_QUALITY = 40
 REVERSE = 16
 
 
-def _alts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [
-            (contig, *m)
-            for contig, start, cigar, md, seq, flag in zip(b.contig, b.pos_start, b.cigar, b.tag_md, b.seq, b.flag, strict=True)
-            for m in mismatches(start, cigar, md, seq, bool(flag & REVERSE))
-        ]
-        yield pd.DataFrame(rows, columns=["contig", "pos", "base", "ref"])
+@F.pandas_udf(StringType())
+def _by_hand(start: pd.Series, cigar: pd.Series, md: pd.Series, seq: pd.Series, flag: pd.Series) -> pd.Series:
+    """The mismatches of reads with insertions, clips, deletions or skips, as ``position,base,reference;...``; null for the others, whose ``cigar`` is null."""
+    return pd.Series([
+        None if c is None else ";".join(f"{p},{b},{r}" for p, b, r in mismatches(int(s), c, m, q, bool(int(f) & REVERSE)))
+        for s, c, m, q, f in zip(start, cigar, md, seq, flag, strict=True)
+    ], dtype=object)
 
 
 def mismatch_counts(reads: DataFrame) -> DataFrame:
-    """``contig`` (plain), ``pos``, ``base`` (lower case on the reverse strand), ``ref``, ``n``."""
-    r = reads.where(F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("cigar").isNotNull() & F.col("seq").isNotNull())
-    found = r.select(plain_contig("contig").alias("contig"), "pos_start", "cigar", "tag_md", "seq", "flag").mapInPandas(_alts, "contig string, pos int, base string, ref string")
-    return found.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("ref").alias("ref"))
+    """``contig`` (plain), ``pos``, ``base`` (lower case on the reverse strand), ``ref``, ``n``.
+
+    Where a read is one aligned stretch, its MD tag is read by JVM expressions; only the others go through Python, in the
+    same pass over the reads. Reads without an MD tag, or whose tag names no mismatch, are left out by the scan's filter.
+    """
+    r = reads.where(F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("cigar").isNotNull() & F.col("seq").isNotNull() & F.col("flag").isNotNull())
+    whole = F.col("cigar").rlike(r"^[0-9]+[M=X]\z") & F.col("tag_md").rlike(r"^[0-9]+([A-Za-z][0-9]+)*\z")
+    same = F.transform(F.regexp_extract_all("tag_md", F.lit("([0-9]+)"), 1), lambda x: x.cast("int"))
+    reverse = F.col("flag").bitwiseAND(F.lit(REVERSE)) != 0
+
+    def found(letter: Column, i: Column) -> Column:
+        at = F.aggregate(F.slice(same, 1, i + 1), F.lit(0), lambda t, n: t + n) + i
+        base = F.substring(F.col("seq"), at + 1, F.lit(1))
+        return F.struct((F.col("pos_start") + at).cast("int").alias("pos"), F.when(reverse, F.lower(base)).otherwise(F.upper(base)).alias("base"), F.upper(letter).alias("ref"))
+
+    direct = F.transform(F.regexp_extract_all("tag_md", F.lit("([A-Za-z])"), 1), found)
+    hard = lambda c: F.when(~F.col("_whole"), F.col(c))
+    other = F.transform(F.filter(F.split("_said", ";"), lambda x: x != ""), lambda x: F.struct(F.get(F.split(x, ","), 0).cast("int").alias("pos"), F.get(F.split(x, ","), 1).alias("base"), F.get(F.split(x, ","), 2).alias("ref")))
+    rows = (
+        r.withColumn("_whole", whole).withColumn("_said", _by_hand("pos_start", hard("cigar"), hard("tag_md"), hard("seq"), "flag"))
+        .select(plain_contig("contig").alias("contig"), F.explode(F.when(F.col("_whole"), direct).otherwise(other)).alias("_m"))
+        .select("contig", "_m.pos", "_m.base", "_m.ref").where("base <> ''")
+    )
+    return rows.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("ref").alias("ref"))
 
 
 def with_reference(blocks: DataFrame, reference: DataFrame) -> DataFrame:

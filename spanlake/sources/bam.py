@@ -3,7 +3,8 @@
 A file is read in byte ranges, so one large file makes many tasks. A task looks for the first compressed block at or
 after its range's start and in it for the first place where several plausible records follow one another; the records
 of blocks that begin in its range are its own. Equality on ``sample_id`` leaves out files, conditions on ``contig`` and
-positions leave out records before they are decoded further; only asked columns and tags are decoded.
+positions leave out records before they are decoded further, and where an index (``.bai``) lies beside a file only its
+stretches for the contig and positions are read; only asked columns and tags are decoded.
 """
 
 from __future__ import annotations
@@ -180,10 +181,9 @@ def decode(data: bytes, names: list[str], sample: str, wanted: list[str], tags:
     at = 32 + l_name
     ops = struct.unpack_from(f"<{n_cigar}I", data, at)
     name = lambda i: names[i] if i >= 0 else None
-    bare = lambda c: None if c is None else "MT" if (b := c.removeprefix("chr")) == "M" else b
     length = sum(o >> 4 for o in ops if o & 15 in (0, 2, 3, 7, 8))
     row: dict[str, object] = {
-        "sample_id": sample, "qname": data[32 : 31 + l_name].decode(), "flag": flag, "contig": bare(name(ref)), "pos": pos + 1, "pos_start": pos + 1, "pos_end": pos + max(length, 0) if pos >= 0 else 0,
+        "sample_id": sample, "qname": data[32 : 31 + l_name].decode(), "flag": flag, "contig": _bare(name(ref)), "pos": pos + 1, "pos_start": pos + 1, "pos_end": pos + max(length, 0) if pos >= 0 else 0,
         "mapq": mapq, "rnext": "=" if mate == ref and mate >= 0 else name(mate) or "*", "pnext": mate_pos + 1, "tlen": tlen,
     }
     if "cigar" in wanted:
@@ -200,6 +200,10 @@ def decode(data: bytes, names: list[str], sample: str, wanted: list[str], tags:
     return row
 
 
+def _bare(contig: str | None) -> str | None:
+    return None if contig is None else "MT" if (b := contig.removeprefix("chr")) == "M" else b
+
+
 @dataclass
 class _Wanted:
     samples: set[str] | None = None
@@ -230,7 +234,23 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[Piece]:
         paths = [p for p in listed(self.options["path"], (".bam",)) if self.wanted.samples is None or sample_of(p) in self.wanted.samples]
-        return pieces(paths, int(self.options.get("splitSize", SPLIT)))
+        split = int(self.options.get("splitSize", SPLIT))
+        if self.wanted.contigs is None:
+            return pieces(paths, split)
+        from spanlake.sources.bai import Chunk, chunks, index_of
+
+        out: list[Piece] = []
+        low, high = max((self.wanted.low or 1) - 1, 0), self.wanted.high or (1 << 29)
+        for p in paths:
+            if (index := index_of(p)) is None:
+                out += pieces([p], split)
+            elif high > low:
+                out += [Chunk(p, a, b) for a, b in chunks(index, self._refs(header(p)[0]), low, high)]
+        return out
+
+    def _refs(self, names: list[str]) -> set[int]:
+        """The numbers of the wanted contigs, whichever way a file spells them."""
+        return {i for i, n in enumerate(names) if _bare(n) in self.wanted.contigs}
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks so where no file is left
@@ -240,10 +260,15 @@ class BamReader(DataSourceReader):
         columns = self.schema.fieldNames()
         tags = {c[4:] for c in columns if c.startswith("tag_")}
         shape = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, IntegerType) else pa.string()) for f in self.schema])
-        bare = ["MT" if (b := n.removeprefix("chr")) == "M" else b for n in names]
-        kept = None if w.contigs is None else {i for i, n in enumerate(bare) if n in w.contigs}
+        kept = None if w.contigs is None else self._refs(names)
         rows: list[dict] = []
-        for data in records(partition.path, partition.start, partition.end, names, (block, offset)):
+        from spanlake.sources.bai import Chunk, placed_records
+
+        if isinstance(partition, Chunk):
+            found = (body for _, _, body in placed_records(partition.path, partition.start, partition.end))
+        else:
+            found = records(partition.path, partition.start, partition.end, names, (block, offset))
+        for data in found:
             ref, pos = struct.unpack_from("<ii", data)
             if (kept is not None and ref not in kept) or (w.high is not None and pos + 1 > w.high):
                 continue

@@ -10,7 +10,8 @@ from spanlake.session import Session
 from spanlake.sinks.bam import write_file
 from spanlake.sinks.tables import save_by_sample, write_pileup
 from spanlake.sources import register, text
-from spanlake.sources.bam import samples
+from spanlake.sources.bai import chunks, placed_records, write_index
+from spanlake.sources.bam import header, samples
 from spanlake.sources.sequences import read_name
 from tests.conftest import rows
 
@@ -96,6 +97,25 @@ def test_bam(spark, tmp_path):
         spark.read.format("cram").load(str(tmp_path)).count()
 
 
+def test_index(spark, tmp_path):
+    register(spark)
+    reads = sorted((r for r in reads_of(20_000, 5) if r["contig"]), key=lambda r: (r["contig"], r["pos_start"]))
+    for r in reads:
+        r["pos_start"] *= 37
+    path = str(tmp_path / "S1.bam")
+    write_file(path, reads, {"chr1": 400_000, "chr2": 400_000})
+    plain = spark.read.format("bam").load(path)
+    queries = ["contig = '1' AND pos_end >= 100000 AND pos_start <= 120000", "contig = '2'", "contig IN ('1', '2') AND pos_start <= 40000", "contig = '1' AND pos_end >= 300000", "contig = '9'", "contig = '2' AND pos_start <= 0"]
+    before = [rows(plain.where(q), "qname") for q in queries]
+    write_index(path)
+    names = [n for n, _, _ in ((b[32 : 32 + b[8] - 1].decode(), a, c) for a, c, b in placed_records(path, header(path)[1] << 16 | header(path)[2]))]
+    assert names == [r["qname"] for r in reads]
+    assert [rows(spark.read.format("bam").load(path).where(q), "qname") for q in queries] == before and all(before[:4])
+    whole = {i for i, r in enumerate(reads) if r["contig"] == "chr1"}
+    some = chunks(path + ".bai", {0}, 100_000, 120_000)
+    assert some and sum(1 for a, b in some for _ in placed_records(path, a, b)) < len(whole) / 2
+
+
 def test_session(spark, tmp_path):
     s = Session(spark)
     write_file(str(tmp_path / "S1.bam"), reads_of(300, 7), {"chr1": 10_000, "chr2": 10_000})
