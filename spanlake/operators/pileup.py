@@ -57,7 +57,9 @@ def mismatch_counts(reads: DataFrame) -> DataFrame:
         .select(plain_contig("contig").alias("contig"), F.explode(F.when(F.col("_whole"), direct).otherwise(other)).alias("_m"))
         .select("contig", "_m.pos", "_m.base", "_m.ref").where("base <> ''")
     )
-    return rows.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("ref").alias("ref"))
+    # as a number the reference's base can be held by a hash aggregate; as a string it would take a sort
+    counted = rows.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.ascii("ref")).alias("ref"))
+    return counted.withColumn("ref", F.char("ref"))
 
 
 def with_reference(blocks: DataFrame, reference: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from spanlake import sources
 from spanlake.functions import quality, ranges
 from spanlake.operators.coverage import FILTER_FLAG, coverage
 from spanlake.operators.pileup import MAX_QUALITY, pileup
+from spanlake.sources.bam import samples as bam_samples
 
 #: SQL functions are registered bare and under the prefix that existing queries use.
 PREFIXES = ("", "bdg_")
@@ -47,6 +48,12 @@ class Session:
             source = self.spark.read.format("bam").load(source) if source.endswith(".bam") else self.spark.table(source)
         return source if sample is None else source.where(F.col("sample_id") == sample)
 
+    def samples(self, source: DataFrame | str) -> list[str]:
+        """The samples of BAM files by their names alone, or of a table by its distinct values."""
+        if isinstance(source, str) and (source.endswith(".bam") or "/" in source):
+            return bam_samples(source)
+        return sorted(r[0] for r in self.reads(source).select("sample_id").distinct().collect() if r[0] is not None)
+
     def reference(self, path: str | None) -> DataFrame | None:
         return None if path is None else self.spark.read.format("fasta").load(path)
 

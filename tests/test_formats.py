@@ -126,6 +126,7 @@ def test_session(spark, tmp_path):
     assert rows(by_sql) == rows(direct.where("coverage > 1")) and by_sql.count() > 0
     p = s.sql(f"SELECT contig, count(*) n FROM pileup('held_reads', 'S1', '{tmp_path}/r.fa', true, true, 1) GROUP BY contig")
     assert p.count() == 2 and s.sql("SELECT bdg_shift(1, 2, 3).start AS x, coverage FROM (SELECT 7 AS coverage)").first() == (4, 7)
+    assert s.samples("held_reads") == s.samples(str(tmp_path)) == ["S1"]
     assert "ref" in s.pileup(str(tmp_path / "S1.bam"), str(tmp_path / "r.fa")).columns
     (tmp_path / "t.tsv").write_text("GeneID\tChr\tStart\tEnd\tStrand\ng1\tchr1\t1\t9000\t+\n")
     cli.main(["feature-counts", "-r", str(tmp_path / "S1.bam"), "-a", str(tmp_path / "t.tsv"), "-o", str(tmp_path / "counts")])
@@ -135,7 +136,7 @@ def test_session(spark, tmp_path):
     assert spark.read.option("header", "true").option("sep", "\t").csv(str(tmp_path / "depth")).count() == direct.count()
 
 
-def test_pileup_texts(spark, tmp_path):
+def test_pileup_texts(spark, tmp_path, capsys):
     assert [conv.clean_marks(x) for x in ("...,", "$A..$.,$", "$A^!..$.,$", "^~.", "^~.^$")] == ["...,", "A...,", "A...,", ".", "."]
     assert conv.split_indels("A+2GGt-1c.*") == ("At.*", [1])
     (tmp_path / "m.pileup").write_text('chr1\t5\ta\t3\t.-2CC,T\tI"I\nchr1\t6\tC\t3\t*,.\tIII\nchr1\t7\tC\t1\t*\tI\nchr1\t8\tC\t2\t.,\tII\n')
@@ -152,6 +153,10 @@ def test_pileup_texts(spark, tmp_path):
     assert rows(conv.bases_to_blocks(bases), "pos_start", "pos_end", "ref") == [(3, 5, "ACG"), (8, 9, "RR")]
     write_pileup(common, str(tmp_path / "w"), single_file=True)
     assert text.block_pileup(spark, str(tmp_path / "w")).count() == 3
+    flat_bases = tmp_path / "f"
+    write_pileup(conv.maps_to_strings(common), str(flat_bases), single_file=True)
+    cli.main(["compare-pileups", f"mpileup:{tmp_path}/m.pileup", f"blocks:{flat_bases}", f"spaced:{tmp_path}/g.pileup"])
+    assert [x.rsplit(": ", 1)[1] for x in capsys.readouterr().out.splitlines() if " and " in x] == ["equal", "not equal", "not equal"]
     flat = conv.maps_to_strings(common)
     assert conv.compare_all({"a": flat, "b": flat, "c": flat.limit(2)}) == {("a", "b"): True, ("a", "c"): False, ("b", "c"): False}
 
