@@ -164,11 +164,11 @@ def iv_first_overlapper(spark, d):
 
 
 @_add("iv_annotate", f"""WITH a AS (SELECT DISTINCT {PLAIN.format("contig")} AS contig, pos_start, pos_end FROM alignment WHERE pos_end >= pos_start)
-  SELECT b.name, count(*) AS n FROM bed_feature b JOIN a ON a.contig = {PLAIN.format("b.contig")} AND a.pos_end >= b.pos_start AND a.pos_start <= b.pos_end GROUP BY 1""")
+  SELECT b.name, count(*) AS n, min(a.pos_start) AS first_start FROM bed_feature b JOIN a ON a.contig = {PLAIN.format("b.contig")} AND a.pos_end + 100000 >= b.pos_start AND a.pos_start - 100000 <= b.pos_end GROUP BY 1""")
 def iv_annotate(spark, d):
     a = table(spark, d, "alignment").where("pos_end >= pos_start").select(plain_contig("contig").alias("contig"), "pos_start", "pos_end").distinct()
     b = table(spark, d, "bed_feature").select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", "name")
-    return interval_join(b, a, bin_size=4096).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return interval_join(b, a, max_gap=100_000, bin_size=1 << 17).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("pos_start_right").alias("first_start"))
 
 
 # coverage ----------------------------------------------------------------------------------------------------------
