@@ -270,9 +270,12 @@ def pileup_alts(spark, d):
     return pileup(marked_reads(spark, d)).drop("quals").withColumn("alts", altmap_to_str("alts"))
 
 
-@_add("pileup_quals", None)
+@_add("pileup_quals", f"""WITH r AS (SELECT contig, pos_start, pos_end, n, CASE sample_id WHEN 'O' THEN 'a' ELSE 'A' END AS base FROM ({READS}) WHERE pos_start < pos_end),
+  alt AS (SELECT DISTINCT contig, CAST(pos_start + least(n, pos_end - pos_start) AS INTEGER) AS p FROM r)
+  SELECT r.contig, p AS pos_start, base, n AS q, CAST(count(*) AS INTEGER) AS reads FROM r JOIN alt ON r.contig = alt.contig AND p BETWEEN r.pos_start AND r.pos_end GROUP BY ALL""")
 def pileup_quals(spark, d):
-    return pileup(marked_reads(spark, d), quals=True)
+    by_base = pileup(marked_reads(spark, d), quals=True).select("contig", "pos_start", F.explode("quals").alias("base", "counts"))
+    return by_base.select("contig", "pos_start", "base", F.posexplode("counts").alias("q", "reads")).where("reads > 0")
 
 
 # what Spark itself brings, as users of the engine run it -------------------------------------------------------------
