@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -82,6 +83,11 @@ _WORD = re.compile(r"<n>|[^\W_]+")
 #: What a slot begins with.
 _SIGN = re.compile(r"[{}\[\]<>$%@#&_*?!]|\(\(\(")
 _CELL = re.compile(r"[ \t]{2,}")
+_PIECE = re.compile(r"[ \t]{2,}|\n")
+#: The halves of a word that goes on in a later cell.
+_HEAD, _TAIL = re.compile(r"([^\W_]+)[-¬][ \t]*$"), re.compile(r"\W*([^\W_]+)")
+_SOFT = (("{", "}"), ("[", "]"), ("<", ">"), ("(((", ")))"))
+_STARS = re.compile(r"\*{3,}")
 
 
 def _masked(m: re.Match) -> str:
@@ -140,6 +146,62 @@ def _agrees(record: list[str], message: list[str], foreign: int) -> bool:
     return True
 
 
+def _between(text: str, opener: str, closer: str) -> Iterator[str]:
+    """What stands from each opening bracket to its matching closing one; for one without, to the next that closes."""
+    opened, closed = [], []
+    for m in re.finditer(f"{re.escape(opener)}|{re.escape(closer)}", text):
+        if m.group() == opener:
+            opened.append(m.end())
+        else:
+            closed.append(m.start())
+            if opened:
+                yield text[opened.pop() : m.start()]
+    for start in opened:
+        if closed and start <= closed[-1]:
+            yield text[start : closed[bisect_left(closed, start)]]
+
+
+class _Field:
+    """The words between two brackets, where lines and cells of other columns may stand within."""
+
+    def __init__(self, text: str, wanted: frozenset[str]):
+        cells = _PIECE.split(text)
+        self.words: list[str] = []
+        heads: list[tuple[int, str]] = []
+        #: Wanted words in two halves: the word, where it begins and ends.
+        self.halved: list[tuple[str, int, int]] = []
+        starts = []
+        for cell in cells:
+            starts.append(at := len(self.words))
+            if tail := _TAIL.match(cell):
+                self.halved += [(w, j, at) for j, a in heads if (w := fold(a + tail.group(1))) in wanted]
+            self.words += tokens(fold(cell))
+            if head := _HEAD.search(cell):
+                heads.append((len(self.words) - 1, head.group(1)))
+        self.first, self.last = (starts[1] if len(starts) > 1 else len(self.words)), starts[-1]
+        ends = cells[0] + cells[-1]
+        self.open = not ends.strip()
+        #: The first and the last cell are the field's own: where they hold something but no letter, it is a sum or a list.
+        self.worded = self.open or any(c.isalpha() for c in ends)
+
+    def find(self, phrase: list[str], begun_only: bool) -> int | None:
+        """Where the phrase begins whose words (or words that begin so) stand in this order, whatever stands between them."""
+        first, at = None, 0
+        for want in phrase:
+            whole = next((j for j in range(at, len(self.words)) if (self.words[j].startswith(want) if begun_only else self.words[j] == want)), None)
+            ends = [] if whole is None else [(whole + 1, whole)]
+            ends += [(k + 1, j) for w, j, k in self.halved if w == want and j >= at]
+            if not ends:
+                return None
+            at, begun = min(ends)
+            first = begun if first is None else first
+        return first
+
+    def earliest(self, phrases: list[list[str]], begun_only: bool = False) -> tuple[bool, int] | None:
+        """Where one of the phrases begins: in the field's own cells before any other."""
+        return min(((self.first <= at < self.last, at) for p in phrases if (at := self.find(p, begun_only)) is not None), default=None)
+
+
 class Detector:
     def __init__(self) -> None:
         import ahocorasick
@@ -161,9 +223,9 @@ class Detector:
             r"|(?<![\d\w])%[sd](?!\w)|%\d\$[sd]|\{\d\}|\[[0o]bjec. [0Oo]bjec.\]|#(?:REF|VALUE|NAME|DIV/0|N/A)"
         )
         self.bare = re.compile(r"(?<!\w)(?:undefined,?\s+undefined|NULL\s+NULL|NaN)(?!\w)")
-        self.soft = re.compile(r"\{([^{}]{3,60})\}|\[([^\[\]]{3,60})\]|<([^<>|]{3,60})>|\(\(\(([^()]{3,60})\)\)\)|\*\*\*([^*]{3,60})\*\*\*")
-        self.to_fill = [re.compile(rf"(?<!\w){re.escape(' '.join(_signature(p)))}(?!\w)") for p in TO_FILL]
-        self.editorial = [" ".join(_signature(p)) for p in EDITORIAL]
+        self.to_fill = [_signature(p) for p in TO_FILL]
+        self.editorial = [_signature(p) for p in EDITORIAL]
+        self.asked = frozenset(chain.from_iterable(self.to_fill + self.editorial))
 
     def leaf(self, head: tuple[str, ...]) -> list[list[str]]:
         """The verdict of a template: the messages that can begin with it."""
@@ -194,7 +256,21 @@ class Detector:
                         return True
         return False
 
-    def slot(self, text: str) -> bool:
+    def _field(self, text: str) -> str | None:
+        """``slot`` if something is to be put in, ``note`` if the paper says something itself: what begins first.
+
+        A note's phrase begins in the field's own cells; elsewhere it is another column's, unless these are empty.
+        """
+        field = _Field(text, self.asked)
+        if not field.worded:
+            return None
+        fill, note = field.earliest(self.to_fill), field.earliest(self.editorial, True)
+        if note is not None and (field.open or not note[0]) and (fill is None or note < fill):
+            return "note"
+        return None if fill is None else "slot"
+
+    def slot(self, text: str, raw: str) -> bool:
+        """``text`` with words joined over line ends, and as it was."""
         soft = False
         for m in _SIGN.finditer(text):
             if self.hard.match(text, m.start()):
@@ -202,10 +278,17 @@ class Detector:
             soft = True
         if ("undefined" in text or "NULL" in text or "NaN" in text) and self.bare.search(text):
             return True
-        for m in self.soft.finditer(text) if soft else ():
-            inside = " ".join(tokens(fold(next(g for g in m.groups() if g))))
-            if not any(e in inside for e in self.editorial) and any(p.search(inside) for p in self.to_fill):
+        if not soft:
+            return False
+        for t in {text, raw}:
+            if any(self._field(f) == "slot" for a, b in _SOFT if a in t for f in _between(t, a, b)):
                 return True
+            stars, noted = list(_STARS.finditer(t)), False
+            for a, b in zip(stars, stars[1:], strict=False):
+                kind = None if noted else self._field(t[a.end() : b.start()])
+                if kind == "slot":
+                    return True
+                noted = kind == "note"
         return False
 
     def fills(self, words: list[str]) -> bool:
@@ -225,8 +308,9 @@ class Detector:
         """``slot``, ``message``, ``filler`` or null for a text that is content (or empty, or null)."""
         if not text or text.isspace():
             return None
+        raw = text.replace("\r", "")
         text = _BROKEN.sub("", text).replace("\r", "")
-        if self.slot(text):
+        if self.slot(text, raw):
             return "slot"
         lines, folded = text.split("\n"), fold(text).split("\n")
         by_line = [tokens(x) for x in folded]

@@ -43,3 +43,16 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "{{x_y}}"), (1, "{{x_y}}"), (None, "bla bla bla bla"), (2, None), (3, "plain " * 200_000)], "doc_id bigint, text string").selectExpr("*", "1 AS kind")
     assert rows(residue(df)) == [(None, "filler"), (1, "slot"), (1, "slot")]
     assert rows(judge(df.limit(0))) == []
+
+
+FOREIGN = "\nDie Gesellschaft und die öffentliche Verwaltung von Aldwick haben\nWie man aus Lundmoor meldet, hat Mrs. M. die Sitzung besucht\nLysken continued the work at the mill   and the narrow library was opened\n"
+LONG_SLOTS = [
+    f"[ INSÉRER{FOREIGN}LE TITRE ]", f"(((PHOTO CAPTION TO{FOREIGN}that not fewer than 76 persons pur-\nCOME)))", f"{{in-{FOREIGN}sert caption}}", f"<PLACE SHIPPING LIST{FOREIGN}HERE>", f"***{FOREIGN}ADD PRICE ***", f"[name{FOREIGN}of correspondent]",
+    f"a [ stray mark and [INSERT{FOREIGN}HEADLINE]", f"[INSERT [Advt.]{FOREIGN}HEADLINE]",
+]
+LONG_CONTENT = [f"{{ 2, 4,{FOREIGN}add your name here\n8 }}", f"[From our{FOREIGN}own correspondent here]", f"*** The editor is not bound to{FOREIGN}return your copy ***", f"[{FOREIGN}]"]
+
+
+def test_fields_of_any_length(detector):
+    assert [t for t in LONG_SLOTS if detector.kind(t) != "slot"] == []
+    assert [t for t in LONG_CONTENT if detector.kind(t) is not None] == []
