@@ -6,8 +6,8 @@ Two detectors look at each text, whole:
   fixed depth: their first ``DEPTH`` tokens, folded (below) and with numbers and ids masked. A leaf is a template. It is
   classified once, when it is met first: the verdict is the list of known messages that can begin so, mostly none. A
   record takes its leaf's verdict, and where there is one, the rest of the record (over the following lines) is checked
-  against the message. What columns read across one another leave of a message is found by phrases that only such
-  messages have. Filler is found as a run of filler words, or a sentence that stands three times in succession.
+  against the message. A message that other columns cut is followed over the ends of its lines and
+  cells to the end of the text, and phrases that only such messages have are looked for anywhere. Filler is found as a run of filler words, or a sentence that stands three times in succession.
 * *Slots.* Unresolved fields inside ordinary records, by their delimiters or by what stands between soft brackets, and the
   bare values that are printed where a field couldn't be filled.
 
@@ -83,6 +83,11 @@ _WORD = re.compile(r"<n>|[^\W_]+")
 #: What a slot begins with.
 _SIGN = re.compile(r"[{}\[\]<>$%@#&_*?!]|\(\(\(")
 _CELL = re.compile(r"[ \t]{2,}")
+_CUT = re.compile(r"[-¬](?:[ \t]{2,}|[ \t]*(?:\n|\Z))")
+_LAST = re.compile(r"[^\W_]+\Z")
+#: A cell that can begin or go on with a status and its title, which has capitals.
+_STATUS = re.compile(r"(?<!\w)[45]\d\d(?!\w)")
+_TITLED = re.compile(r"\W*(?:[45]\d\d(?!\w)|[A-Z])")
 _PIECE = re.compile(r"[ \t]{2,}|\n")
 #: The halves of a word that goes on in a later cell.
 _HEAD, _TAIL = re.compile(r"([^\W_]+)[-¬][ \t]*$"), re.compile(r"\W*([^\W_]+)")
@@ -115,12 +120,11 @@ def _signature(message: str) -> list[str]:
     return ["*" if w == "*" else "<n>" if w == "<n>" else fold(w) for w in message.split()]
 
 
-def _signatures() -> list[list[str]]:
-    said = [_signature(m) for m in MESSAGES] + [["<n>", *_signature(t)] for t in CODED_TITLES]
-    for subject in SUBJECTS:
-        for predicate in PREDICATES:
-            said += [_signature(f"{a} {subject} {predicate}") for a in ("the", "this", "our")]
-    return said + [_signature(f"item * {predicate}") for predicate in PREDICATES]
+def _said() -> list[str]:
+    return [
+        *MESSAGES, *(f"<n> {t}" for t in CODED_TITLES), *(f"{a} {subject} {predicate}" for subject in SUBJECTS for predicate in PREDICATES for a in ("the", "this", "our")),
+        *(f"item * {predicate}" for predicate in PREDICATES),
+    ]
 
 
 def _agrees(record: list[str], message: list[str], foreign: int) -> bool:
@@ -202,12 +206,82 @@ class _Field:
         return min(((self.first <= at < self.last, at) for p in phrases if (at := self.find(p, begun_only)) is not None), default=None)
 
 
+class _Followed:
+    """Messages that other columns cut, followed to the end of the text.
+
+    A column is cut at the ends of its lines, or of its cells where a line crosses columns. So a message begins a cell,
+    and what a cell leaves of it begins some later cell, however far; within a cell nothing stands between its tokens.
+    """
+
+    def __init__(self, messages: list[str]):
+        #: The steps of each message; None stands for any token, and the second and third of a star may be left out.
+        self.steps: dict[str, list[tuple[str | None, bool]]] = {}
+        #: Messages by their longest word, with all their words.
+        self.by_word: dict[str, list[tuple[frozenset[str], str]]] = {}
+        #: First half of a word: its second halves, and the word.
+        self.halves: dict[str, dict[str, set[str]]] = {}
+        for message in messages:
+            steps: list[tuple[str | None, bool]] = []
+            for w in _signature(message):
+                steps += [(None, False), (None, True), (None, True)] if w == "*" else [(w, False)]
+            self.steps[message] = steps
+            words = frozenset(w for w, _ in steps if w)
+            self.by_word.setdefault(max(words, key=len), []).append((words, message))
+            for w in message.split():
+                for k in range(1, len(w)) if w[0].isalpha() else ():
+                    self.halves.setdefault(fold(w[:k]), {}).setdefault(fold(w[k:]), set()).add(fold(w))
+        self.completed = {h: set().union(*rest.values()) for h, rest in self.halves.items()}
+
+    def held(self, raw: str, words: set[str]) -> list[str]:
+        """Messages all of whose words the text holds, whole or perhaps in halves; ``words`` are those of the joined text."""
+        heads, tails = [], []
+        for m in _CUT.finditer(raw):
+            if head := _LAST.search(raw, max(0, m.start() - 30), m.start()):
+                heads.append(head.group())
+            if tail := _TAIL.match(raw, m.end()):
+                tails.append(tail.group(1))
+        if heads:
+            heads = tokens(fold("\n".join(heads)))
+            words = words.union(heads, tokens(fold("\n".join(tails))), *(self.completed[h] for h in heads if h in self.completed))
+        return [m for w in self.by_word.keys() & words for own, m in self.by_word[w] if own <= words]
+
+    def _open(self, steps: list[tuple[str | None, bool]], states: set[int]) -> set[int]:
+        """With the states that are reached by leaving steps out."""
+        out = set()
+        for i in states:
+            out.add(i)
+            while i < len(steps) and steps[i][1]:
+                i += 1
+                out.add(i)
+        return out
+
+    def begins(self, cells: list[tuple[list[str], bool]], message: str) -> bool:
+        """Whether the message stands in the cells: the tokens of each, and whether its last word is broken."""
+        steps, waiting, broken = self.steps[message], {0}, set()
+        for words, cut in cells:
+            states = set(waiting)
+            for n, w in enumerate(words):
+                if cut and n == len(words) - 1 and w in self.halves:
+                    broken |= {(i, w) for i in self._open(steps, states) if i < len(steps) and steps[i][0]}
+                after = {i + 1 for i in self._open(steps, states) if i < len(steps) and steps[i][0] in (None, w)}
+                if n == 0:
+                    after |= {i + 1 for i, half in broken if steps[i][0] in self.halves[half].get(w, ())}
+                states = after
+                if not states:
+                    break
+                if len(steps) in self._open(steps, states):
+                    return True
+            waiting |= states
+        return False
+
+
 class Detector:
     def __init__(self) -> None:
         import ahocorasick
 
+        self.followed = _Followed(_said())
         self.openers: dict[str, list[list[str]]] = {}
-        for message in _signatures():
+        for message in map(_signature, _said()):
             self.openers.setdefault(message[0], []).append(message)
         self.leaves: dict[tuple[str, ...], list[list[str]]] = {}
         self.titles = {tuple(_signature(t)): t[0] for t in TITLES}
@@ -256,6 +330,17 @@ class Detector:
                         return True
         return False
 
+    def cut(self, raw: str, words: list[str]) -> bool:
+        """Whether a message stands in the text that other columns cut; ``words`` are those of the joined text."""
+        held = self.followed.held(raw, set(words))
+        if not _STATUS.search(raw):
+            held = [m for m in held if m[0] != "<"]
+        if not held:
+            return False
+        pieces = _PIECE.split(raw)
+        cells = [(own, bool(_HEAD.search(c)), _TITLED.match(c)) for c, f in zip(pieces, fold("\n".join(pieces)).split("\n"), strict=True) if (own := tokens(f))]
+        return any(self.followed.begins([(own, cut) for own, cut, titled in cells if titled or m[0] != "<"], m) for m in held)
+
     def _field(self, text: str) -> str | None:
         """``slot`` if something is to be put in, ``note`` if the paper says something itself: what begins first.
 
@@ -315,7 +400,7 @@ class Detector:
         lines, folded = text.split("\n"), fold(text).split("\n")
         by_line = [tokens(x) for x in folded]
         words = list(chain.from_iterable(by_line))
-        if next(self.phrases.iter(" ".join(words)), None) or self.message(lines, folded, by_line):
+        if next(self.phrases.iter(" ".join(words)), None) or self.message(lines, folded, by_line) or self.cut(raw, words):
             return "message"
         if self.fills(words):
             return "filler"

@@ -56,3 +56,19 @@ LONG_CONTENT = [f"{{ 2, 4,{FOREIGN}add your name here\n8 }}", f"[From our{FOREIG
 def test_fields_of_any_length(detector):
     assert [t for t in LONG_SLOTS if detector.kind(t) != "slot"] == []
     assert [t for t in LONG_CONTENT if detector.kind(t) is not None] == []
+
+
+FAR = "\n" + "".join(f"The worthy farmer of Yarlmere repaired\nthe tariff on Saturday, and {i} persons\nwere hurt beside the quar-\n" for i in range(30))
+CUT_MESSAGES = [
+    f"The reader{FAR}could not be loaded.", f"This{FAR}issue cannot{FAR}be displayed", f"Item 95867 has been removed   of the committee{FAR}or renamed.", f"Diese Anwendung benötigt{FAR}aktiviertes Javascr", f"The requested page could not be loa-{FAR}ded.",
+    f"Database connection{FAR}failed: too many", f"404{FAR}Forbidden", f"Fehler{FAR}503: Die Seite", f"The page you{FAR}requested does{FAR}not exist", f"The page   clerk was{FAR}is not   the farmer{FAR}responding", f"This{FAR}archive is{FAR}temporarily{FAR}unavailable",
+]
+CUT_CONTENT = [
+    f"93{FAR}Not{FAR}found supported beside the warehous-", f"2{FAR}forbidden on the notice,", f"410{FAR}gone to the fair", f"The reader{FAR}said it could not be loaded", f"said the reader{FAR}could not be loaded", f"The page was{FAR}not found, and the entry was declared",
+    f"This issue and{FAR}is not responding",
+]
+
+
+def test_messages_cut_anywhere(detector):
+    assert [t for t in CUT_MESSAGES if detector.kind(t) != "message"] == []
+    assert [t for t in CUT_CONTENT if detector.kind(t) is not None] == []
