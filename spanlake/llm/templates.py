@@ -2,18 +2,20 @@
 
 Two detectors look at each text, whole:
 
-* *Messages.* Every line, and every cell of a line that crosses columns, is a record. Records go down a prefix tree of
-  fixed depth: their first ``DEPTH`` tokens, folded (below) and with numbers and ids masked. A leaf is a template. It is
-  classified once, when it is met first: the verdict is the list of known messages that can begin so, mostly none. A
-  record takes its leaf's verdict, and where there is one, the rest of the record (over the following lines) is checked
-  against the message. A message that other columns cut is followed over the ends of its lines and
-  cells to the end of the text, and phrases that only such messages have are looked for anywhere. Filler is found as a run of filler words, or a sentence that stands three times in succession.
+* *Messages.* What such pages say is a stated list; no template is mined from the corpus. Every line, and every cell of a
+  line that crosses columns, is a record, but only records whose first token opens a listed message are looked up, by
+  their first ``DEPTH`` tokens, folded (below) and with numbers and ids masked. The verdict of such a beginning, the
+  listed messages that can begin so, is worked out once in a worker and kept; where there is one, the rest of the
+  record (over the following lines) is checked against the message. A message that other columns cut is followed over
+  the ends of its lines and cells to the end of the text, and phrases that only such messages have are looked for
+  anywhere. Filler is found as a run of filler words, or a sentence that stands three times in succession. A notice in
+  a wording that no list has isn't found.
 * *Slots.* Unresolved fields inside ordinary records, by their delimiters or by what stands between soft brackets, and the
   bare values that are printed where a field couldn't be filled.
 
 Misread letters: texts and messages are folded alike, so that letters a scan confuses become the same letter. Verdicts
-depend on the template alone, not on the order or the place of rows, so nothing is shuffled or counted over tasks and a
-task that runs again finds the same.
+depend on the text and the lists alone, not on the order or the place of rows, so nothing is shuffled or counted over
+tasks and a task that runs again finds the same.
 """
 
 from __future__ import annotations
@@ -302,7 +304,7 @@ class Detector:
         self.asked = frozenset(chain.from_iterable(self.to_fill + self.editorial))
 
     def leaf(self, head: tuple[str, ...]) -> list[list[str]]:
-        """The verdict of a template: the messages that can begin with it."""
+        """The listed messages that can begin with these tokens."""
         if head not in self.leaves:
             if len(self.leaves) > LEAVES:
                 self.leaves.clear()
