@@ -25,6 +25,11 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return rejects.accepted(_parsed(spark, d)).drop("item_rgb", "block_sizes", "block_starts", "thick_start", "thick_end", "block_count")
 
 
+def p1_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The records with all their fields; ``p1_records`` leaves out what is past the strand."""
+    return rejects.accepted(_parsed(spark, d))
+
+
 def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).groupBy("source_file", F.coalesce("reason", F.lit("valid")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,7 +54,7 @@ def p3_contigs(spark: SparkSession, d: str) -> DataFrame:
     return eager.pair_stats(*_pairs(spark, d), group=["contig"]).select("contig", "n_left", "n_right", F.col("n_joined").cast("bigint").alias("n_joined"), F.col("sum_coverage").cast("bigint").alias("sum_coverage"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_reasons, p2_found, p2_covered, p3_found, p3_pairs, p3_contigs)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_typed, p1_reasons, p2_found, p2_covered, p3_found, p3_pairs, p3_contigs)}
 
 PLAIN = "(CASE WHEN regexp_replace({0}, '^chr', '') = 'M' THEN 'MT' ELSE regexp_replace({0}, '^chr', '') END)"
 _F = r'(?:"(?:[^"]|"")*"|[^"\t]*)'
@@ -71,6 +76,14 @@ _PARSED = f"""WITH own AS (
    WHEN n_cols >= 5 AND f_sc <> '.' AND (v_sc IS NULL OR v_sc > 1000) THEN 'score' END AS reason
   FROM num LEFT JOIN contig_list ON plain = contig_list.contig)
 """
+_ALL = ["c", "s", "e", "n", "sc", "st", "ts", "te", "rgb", "bc", "bs", "bst"]
+_EXTRACT_ALL = "^" + r"(?:\t".join(f"({_F})" for _ in _ALL) + ")?" * (len(_ALL) - 1)
+_INT = r"CASE WHEN regexp_full_match({0}, '\s*[+-]?[0-9]+\s*') THEN TRY_CAST({0} AS INTEGER) END"
+_INTS = f"CASE WHEN {{0}} <> '' THEN [{_INT.format('x')} FOR x IN string_split(regexp_replace({{0}}, ',$', ''), ',')] END"
+_TYPED = f"""{_PARSED}, whole AS (SELECT * EXCLUDE (r), regexp_extract(line, '{_EXTRACT_ALL}', {_ALL}) AS r FROM parsed WHERE reason IS NULL),
+ more AS (SELECT *, {", ".join(f"{_UNQUOTED.format(n)} AS g_{n}" for n in _ALL[6:])} FROM whole),
+ lists AS (SELECT *, {", ".join(f"{_INTS.format(f'g_{n}')} AS l_{n}" for n in ("rgb", "bs", "bst"))} FROM more)
+"""
 _SPANS = f"""SELECT sample_id, {PLAIN.format("contig")} AS contig, pos_start AS s, pos_end AS e FROM alignment
   WHERE sample_id IS NOT NULL AND contig IS NOT NULL AND pos_start IS NOT NULL AND pos_end >= pos_start"""
 _PERIODS = f"""WITH spans AS ({_SPANS}),
@@ -87,6 +100,9 @@ ORACLE = {
     "p1_found": f"{_PARSED} SELECT line_id, reason FROM parsed WHERE reason IS NOT NULL",
     "p1_records": f"""{_PARSED} SELECT line_id, source_file, plain AS contig, CAST(v_s + 1 AS INTEGER) AS pos_start, CAST(v_e AS INTEGER) AS pos_end,
       nullif(f_n, '') AS name, TRY_CAST(f_sc AS INTEGER) AS score, nullif(f_st, '') AS strand FROM parsed WHERE reason IS NULL""",
+    "p1_typed": f"""{_TYPED} SELECT line_id, source_file, plain AS contig, CAST(v_s + 1 AS INTEGER) AS pos_start, CAST(v_e AS INTEGER) AS pos_end,
+      nullif(f_n, '') AS name, TRY_CAST(f_sc AS INTEGER) AS score, nullif(f_st, '') AS strand, {_INT.format("g_ts")} AS thick_start, {_INT.format("g_te")} AS thick_end, {_INT.format("g_bc")} AS block_count,
+      {", ".join(f"CASE WHEN len(l_{n}) = len([x FOR x IN l_{n} IF x IS NOT NULL]) THEN l_{n} END AS {c}" for n, c in (("rgb", "item_rgb"), ("bs", "block_sizes"), ("bst", "block_starts")))} FROM lists""",
     "p1_reasons": f"{_PARSED} SELECT source_file, coalesce(reason, 'valid') AS verdict, count(*) AS n FROM parsed GROUP BY 1, 2",
     "p2_found": f"""{_PERIODS}, near AS (SELECT *, lag(pos_end) OVER (PARTITION BY sample_id, contig ORDER BY pos_start) AS before FROM period)
       SELECT 'period' AS kind, sample_id, contig, pos_start, pos_end FROM period

@@ -3,6 +3,8 @@
 import random
 import re
 
+import duckdb
+
 from spanlake.operators.rejects import accepted, read_with_rejects, rejected
 
 CONTIGS = [("1", 1000), ("X", 500), ("MT", 100)]
@@ -104,3 +106,24 @@ def test_noise(spark):
 
 def test_empty(spark):
     assert parse(spark, []).count() == 0
+
+
+def test_fields_past_the_strand(spark, tmp_path):
+    from spanlake.plans.problems import ORACLE, QUERIES
+
+    files = [("d.bed", 12)]
+    tails = ["5\t9\t57,170,0\t2\t3,4,\t0,5", "x\t\t1,x\t\t\t,", "5.5\t+9\t0\t1e1\t99999999999\t-1, 2", '"5"\t9\t"1,2,3"\t1\t"3,"\t,,']
+    tables = {
+        "bed_raw": spark.createDataFrame([(i, "d.bed", f"chr1\t0\t10\tn\t5\t+\t{t}") for i, t in enumerate(tails)], "line_id bigint, source_file string, line string"),
+        "bed_source": spark.createDataFrame(files, "source_file string, n_cols int"),
+        "contig_list": spark.createDataFrame([("1", 100)], "contig string, n_bases bigint"),
+    }
+    folder, con = str(tmp_path), duckdb.connect()
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet/*.parquet')")
+    df = QUERIES["p1_typed"](spark, folder).orderBy("line_id")
+    assert df.columns[-6:] == ["thick_start", "thick_end", "item_rgb", "block_count", "block_sizes", "block_starts"]
+    got = [tuple(r) for r in df.collect()]
+    assert [r[-6:] for r in got] == [(5, 9, [57, 170, 0], 2, [3, 4], [0, 5]), (None, None, None, None, None, None), (None, 9, [0], None, None, [-1, 2]), (5, 9, [1, 2, 3], 1, [3], None)]
+    assert con.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE['p1_typed']}) ORDER BY line_id").fetchall() == got
