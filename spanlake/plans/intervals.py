@@ -119,7 +119,7 @@ def _joined(keyed: bool = True, **options) -> Callable[[SparkSession, str], Data
 _EQ = f"r.contig = t.contig AND {_T}"
 _add("iv_overlap_join", _by_target_sql(_EQ))(_joined())
 _add("iv_overlap_hash", _by_target_sql(_EQ))(_joined(plan="hash"))
-_add("iv_join_order", _by_target_sql(_EQ))(_joined())
+_add("iv_join_order", _by_target_sql(_EQ))(_joined(broadcast_right=True))
 _add("iv_overlap_noeq", _by_target_sql(_T))(_joined(keyed=False))
 _add("iv_min_overlap", _by_target_sql(f"{_EQ} AND least(r.pos_end, t.pos_end) - greatest(r.pos_start, t.pos_start) + 1 >= 10"))(_joined(min_overlap=10))
 _add("iv_max_gap", _by_target_sql("r.contig = t.contig AND r.pos_end + 20 >= t.pos_start AND r.pos_start - 20 <= t.pos_end"))(_joined(max_gap=20))

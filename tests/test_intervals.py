@@ -79,3 +79,19 @@ def test_functions(spark):
     with pytest.raises(Exception, match="negative"):
         df.select(ranges.promoters("s", "e", -1, 2)).collect()
     assert spark.sql("SELECT * FROM my_grange('1', 5, 9)").first() == ("1", 5, 9)
+
+
+def test_join_order_broadcasts_the_right_side(spark, tmp_path):
+    from spanlake.plans.intervals import QUERIES
+
+    spark.sql("SELECT 1 AS l_suppkey, 7 AS l_partkey, 5 AS l_quantity, 'A' AS l_returnflag, 'F' AS l_linestatus, 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT 6 AS p_partkey, 9 AS p_size, 'b' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = {n: QUERIES[n](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString() for n in ("iv_join_order", "iv_overlap_join")}
+        assert "BroadcastHashJoin" in plans["iv_join_order"] and "BuildRight" in plans["iv_join_order"]
+        assert "Broadcast" not in plans["iv_overlap_join"]
+        assert rows(QUERIES["iv_join_order"](spark, str(tmp_path))) == rows(QUERIES["iv_overlap_join"](spark, str(tmp_path))) == [("1", 6, 14, "b", 1, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
