@@ -64,15 +64,20 @@ class FastqReader(DataSourceReader):
             if partition.start:
                 f.seek(partition.start - 1)
                 f.readline()
-                ahead = [(f.tell(), f.readline()) for _ in range(8)]
-                begin = next((at for i, (at, line) in enumerate(ahead[:6]) if line.startswith(b"@") and ahead[i + 2][1].startswith(b"+")), None)
-                if begin is None:
-                    return
-                f.seek(begin)
+                ahead = [(f.tell(), f.readline()) for _ in range(3)]
+                while not (ahead[0][1].startswith(b"@") and ahead[2][1].startswith(b"+")):
+                    if not ahead[0][1] or ahead[0][0] >= partition.end:
+                        return
+                    ahead = [*ahead[1:], (f.tell(), f.readline())]
+                f.seek(ahead[0][0])
             while f.tell() < partition.end:
-                name, seq, _, qual = (f.readline().decode().rstrip("\r\n") for _ in range(4))
-                if not name:
+                line = f.readline()
+                if not line:
                     break
+                name = line.decode().rstrip("\r\n")
+                if not name.strip():
+                    continue
+                seq, _, qual = (f.readline().decode().rstrip("\r\n") for _ in range(3))
                 row = {"sample_id": sample, "seq": seq, "qual": qual} | read_name(name)
                 rows.append({c: row.get(c) for c in self.columns})
                 if len(rows) == 10_000:

@@ -45,6 +45,16 @@ def test_fastq(spark, tmp_path):
     assert df.where("sample_id = 'other'").count() == 0 and read_name("@x") == {}
 
 
+def test_fastq_blank_lines(spark, tmp_path):
+    register(spark)
+    blank = {3: "\n", 10: "\r\n \n", 40: "\n" * 500, 41: "\n" * 12, 199: "\n\n"}
+    (tmp_path / "S1.fastq").write_bytes("".join(f"@r{i}\n{'ACGT' * (i % 9)}\n+\n{'@III' * (i % 9)}\n{blank.get(i, '')}" for i in range(200)).encode())
+    want = sorted(("ACGT" * (i % 9), "@III" * (i % 9)) for i in range(200))
+    for size in ("100000000", "3000", "211", "50"):
+        df = spark.read.format("fastq").option("splitSize", size).load(str(tmp_path))
+        assert sorted((r.seq, r.qual) for r in df.select("seq", "qual").collect()) == want
+
+
 def test_fasta(spark, tmp_path):
     register(spark)
     rng = random.Random(1)
