@@ -43,23 +43,23 @@ def eager_join_aggregate(
     """Aggregates of ``left JOIN right`` by the join key, or by the part ``group`` of it, without the joined rows.
 
     Columns: the group, ``n_left`` and ``n_right`` (rows of the input, once each), ``n_joined`` (rows of the join), and
-    each measure over the joined rows under its name. ``how`` is ``inner`` or ``left``; in a left join a row without a
-    partner counts once, as in SQL. A null in the key matches nothing, so with ``left`` its rows stay, with ``inner``
-    they go. Only named expressions are read, so columns with the same name on both sides don't clash; empty inputs
-    give an empty (``inner``, or ``left`` with an empty left side) or unmatched result.
+    each measure over the joined rows under its name. ``how`` is ``inner``, ``left`` or ``full``; in an outer join a row
+    without a partner counts once, as in SQL. A null in the key matches nothing, so an outer join keeps its rows, an
+    inner one drops them. Only named expressions are read, so columns with the same name on both sides don't clash; empty
+    inputs give an empty (``inner``, or ``left`` with an empty left side) or unmatched result.
     """
     keys = list(left_keys)
     a, b = _states(left, left_keys, left_measures, "l"), _states(right, right_keys, right_measures, "r")
     joined = a.join(b, keys, how)
-    times = F.coalesce("_nr", F.lit(1))
+    times, own = F.coalesce("_nr", F.lit(1)), F.coalesce("_nl", F.lit(1))
     out = []
-    for side, measures, factor in (("l", left_measures, times), ("r", right_measures, F.col("_nl"))):
+    for side, measures, factor in (("l", left_measures, times), ("r", right_measures, own)):
         for m in measures:
             c = F.col(f"_{side}_{m.name}")
             out.append((m, c * factor if m.kind in ("count", "sum") else c))
     rolled = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
     columns = [
-        F.sum("_nl").alias("n_left"), F.sum(F.coalesce("_nr", F.lit(0))).alias("n_right"), F.sum(F.col("_nl") * times).alias("n_joined"),
+        F.sum(F.coalesce("_nl", F.lit(0))).alias("n_left"), F.sum(F.coalesce("_nr", F.lit(0))).alias("n_right"), F.sum(own * times).alias("n_joined"),
         *((F.coalesce(rolled[m.kind](c), F.lit(0)) if m.kind == "count" else rolled[m.kind](c)).alias(m.name) for m, c in out),
     ]
     return joined.groupBy(*(group or keys)).agg(*columns)
@@ -69,11 +69,11 @@ def pair_keys() -> dict[str, Column]:
     return {"sample_id": F.col("sample_id"), "contig": plain_contig("contig")}
 
 
-def pair_stats(alignment: DataFrame, coverage: DataFrame, group: list[str] | None = None) -> DataFrame:
+def pair_stats(alignment: DataFrame, coverage: DataFrame, group: list[str] | None = None, how: str = "left") -> DataFrame:
     """Per (sample_id, contig): rows of ``alignment``, blocks of ``coverage``, rows of their join and aggregates over it."""
     left = [Measure("n_mapq", "count", F.col("mapq")), Measure("sum_mapq", "sum", F.col("mapq").cast("bigint")), Measure("min_start", "min", F.col("pos_start")), Measure("max_end", "max", F.col("pos_end"))]
     right = [Measure("sum_coverage", "sum", F.col("coverage").cast("bigint")), Measure("max_coverage", "max", F.col("coverage"))]
-    return eager_join_aggregate(alignment, coverage, pair_keys(), pair_keys(), left, right, "left", group)
+    return eager_join_aggregate(alignment, coverage, pair_keys(), pair_keys(), left, right, how, group)
 
 
 def pair_coverage(alignment: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -83,10 +83,14 @@ def pair_coverage(alignment: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def heavy_pairs(alignment: DataFrame, coverage: DataFrame, percent: int = 3) -> DataFrame:
-    """The pairs, neither part null, that hold at least ``percent`` % of all rows of ``alignment``.
+    """``sample_id``, ``contig``, ``n_left``, ``n_right`` and ``n_joined`` of the pairs, neither part null, that hold at
+    least ``percent`` % of all rows of ``alignment``.
 
-    The total is a scalar over the joined states, every row counted, those with nulls too.
+    All pairs of both tables are stated and joined. The total is a scalar over the same joined states, every row counted,
+    those with nulls too. Pairs with a null part are left out inside the comparison, not by a filter of their own: pushed
+    below the join it would make the states of the total others than those of the pairs, and each table be read twice.
     """
-    states = pair_stats(alignment, coverage)
+    states = eager_join_aggregate(alignment, coverage, pair_keys(), pair_keys(), [], [], "full")
     total = states.agg(F.coalesce(F.sum("n_left"), F.lit(0)).alias("n")).scalar()
-    return states.where(F.col("sample_id").isNotNull() & F.col("contig").isNotNull() & (F.col("n_left") * 100 >= total * percent)).select("sample_id", "contig")
+    named = F.when(F.col("sample_id").isNotNull() & F.col("contig").isNotNull(), F.col("n_left"))
+    return states.where(named * 100 >= F.greatest(total * percent, F.lit(1)))

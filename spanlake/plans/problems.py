@@ -43,7 +43,7 @@ def p2_covered(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return eager.heavy_pairs(*_pairs(spark, d))
+    return eager.heavy_pairs(*_pairs(spark, d)).select("sample_id", "contig")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ def test_as_the_join(spark):
     keys = {"k": F.col("k"), "g": F.col("g")}
     a = [Measure("n_v", "count", F.col("v")), Measure("sum_v", "sum", F.col("v")), Measure("min_v", "min", F.col("v"))]
     b = [Measure("n_w", "count", F.col("v")), Measure("sum_w", "sum", F.col("v")), Measure("max_w", "max", F.col("v"))]
-    for how in ("inner", "left"):
+    for how in ("inner", "left", "full"):
         joined = left.join(right.select("k", "g", F.col("v").alias("w")), ["k", "g"], how)
         for group in (["k", "g"], ["g"]):
             want = joined.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count("v"), F.sum("v"), F.min("v"), F.count("w"), F.sum("w"), F.max("w"))
@@ -36,7 +36,9 @@ def test_heavy(spark):
     reads = [("s1", "chr7", i, i + 9, 60) for i in range(30)] + [("s1", "7", i, i + 9, None) for i in range(30)] + [(f"t{i}", "1", 5, 9, 1) for i in range(930)] + [(None, "1", 1, 2, 3)] * 500 + [("s2", None, 1, 2, 3)] * 510
     a = spark.createDataFrame(reads, "sample_id string, contig string, pos_start int, pos_end int, mapq int")
     c = spark.createDataFrame([("s1", "7", 4)], "sample_id string, contig string, coverage int")
-    assert rows(heavy_pairs(a, c)) == [("s1", "7")]
+    assert rows(heavy_pairs(a, c)) == [("s1", "7", 60, 1, 60)]
     assert rows(heavy_pairs(a, c, 4)) == []
+    plan = heavy_pairs(a, c)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan
     assert pair_stats(a, c).where("sample_id = 's1'").select("n_left", "n_joined", "sum_coverage").first() == (60, 60, 240)
     assert heavy_pairs(a.limit(0), c).count() == 0
