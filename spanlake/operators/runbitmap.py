@@ -5,12 +5,14 @@ positions of one entity in one shard are one bitmap, kept as runs: pairs of two-
 shard, length - 1). The steps:
 
 1. each map task turns its spans into bitmaps and unions those of the same entity and shard (numpy, before the shuffle);
-2. the bitmaps are shuffled by (entity, shard) and unioned;
+2. the bitmaps are shuffled by (entity, shard) and unioned, in two rounds: first ``FAN`` shares of a shard apart, then
+   these. A task reads a shard's bitmaps in order, one after the other, and holds their union so far, so neither a row
+   nor the memory of a task grows with the number of map tasks that saw the shard;
 3. set runs and the clear runs between them are read off; only the runs at a shard's two ends go on, to be joined
    across shards by a window per entity.
 
-A heavy entity is spread over its shards in 1 and 2. Step 3's window holds at most two rows for each shard, and as
-positions are 32-bit, an entity has at most 65,536 shards: no group grows with the number of rows.
+A heavy entity is spread over its shards in 1 and 2, a heavy shard over its shares. Step 3's window holds at most two
+rows for each shard, and as positions are 32-bit, an entity has at most 65,536 shards: no group grows with the rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ SHARD_BITS = 16
 _SHARD = 1 << SHARD_BITS
 #: Spans that a map task gathers before it makes bitmaps of them.
 BUFFER_ROWS = 400_000
+#: Shares of a shard that are unioned apart before they are unioned with one another.
+FAN = 32
+#: Bitmaps that a union takes at once.
+UNITED_ROWS = 4096
 
 
 def _merge(entity: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +104,36 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The union of each row's list of bitmaps: row, first and last position."""
-    lists = batch.column("_bitmaps")
-    values = lists.flatten()
-    sizes = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-    owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    data = np.frombuffer(b"".join(values.to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
-    return _merge(np.repeat(owner, sizes), data[:, 0], data[:, 0] + data[:, 1])
+def _spans_of(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of each bitmap: its row, first and last position in the shard."""
+    sizes = pc.binary_length(runs).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    data = np.frombuffer(b"".join(runs.to_pylist()), "<u2").reshape(-1, 2).astype(np.int64)
+    return np.repeat(np.arange(len(runs)), sizes), data[:, 0], data[:, 0] + data[:, 1]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps sorted by their key columns, to one bitmap for each key; the last key of a batch waits for the next batch."""
+    held: pa.Table | None = None
+
+    def union(t: pa.Table, keys: list[str]) -> pa.Table:
+        new = np.ones(t.num_rows, bool)
+        if t.num_rows > 1:
+            differs = [pc.not_equal(t.column(k).slice(1), t.column(k).slice(0, t.num_rows - 1)).to_numpy() for k in keys]
+            new[1:] = np.logical_or.reduce(differs)
+        row, start, end = _spans_of(t.column("_runs").combine_chunks())
+        group, start, end = _merge((np.cumsum(new) - 1)[row], start, end)
+        return t.select(keys).take(pa.array(np.flatnonzero(new))).append_column("_runs", _packed(group, start, end)[1])
+
+    for whole in batches:
+        keys = [n for n in whole.schema.names if n != "_runs"]
+        for at in range(0, whole.num_rows, UNITED_ROWS):
+            t = pa.Table.from_batches([whole.slice(at, UNITED_ROWS)])
+            got = union(t if held is None else pa.concat_tables([held, t.cast(held.schema)]), keys)
+            if got.num_rows > 1:
+                yield from got.slice(0, got.num_rows - 1).combine_chunks().to_batches()
+            held = got.slice(got.num_rows - 1)
+    if held is not None:
+        yield from held.combine_chunks().to_batches()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +142,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
             names = batch.schema.names[:-2]
-            row, start, end = _flat(batch)
+            row, start, end = _spans_of(batch.column("_runs"))
             low = batch.column("_shard").to_numpy().astype(np.int64)[row] << SHARD_BITS
             start, end = start + low, end + low
             first = np.append(True, row[1:] != row[:-1])
@@ -132,22 +160,29 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
-            row, start, end = _flat(batch)
+            row, start, end = _spans_of(batch.column("_runs"))
             n = np.bincount(row, end - start + 1, batch.num_rows).astype(np.int64)
             names = batch.schema.names[:-2]
             yield pa.record_batch([*(batch.column(c) for c in names), pa.array(n)], names=[*names, "_n"])
 
 
-def run_bitmaps(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """``spans`` as bitmaps: one row for each entity and shard, ``_bitmaps`` holding those of the map tasks.
+def _unite(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    schema = ", ".join(f"{k} {'string' if k[0] == 'k' else 'int'}" for k in keys)
+    return bitmaps.select(*keys, "_runs").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_united, f"{schema}, _runs binary")
+
+
+def run_bitmaps(spans: DataFrame, keys: list[str], start: str, end: str, fan: int = FAN) -> DataFrame:
+    """``spans`` as bitmaps: one row for each entity and shard, with the keys as ``k0``, ``k1``..., ``_shard`` and ``_runs``.
 
     Rows with a null key, start or end, or with ``end`` before ``start``, are ignored. Other columns are dropped first,
     so that clashing names don't matter. Positions are cast to int.
     """
-    plain = spans.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(start).cast("int").alias("_s"), F.col(end).cast("int").alias("_e"))
-    plain = plain.where(F.col("_e") >= F.col("_s")).dropna().select(*(F.col(f"k{i}").cast("string").alias(f"k{i}") for i in range(len(keys))), "_s", "_e")
-    names = ", ".join(f"k{i} string" for i in range(len(keys)))
-    return plain.mapInArrow(_bitmaps, f"{names}, _shard int, _runs binary").groupBy(*(f"k{i}" for i in range(len(keys))), "_shard").agg(F.collect_list("_runs").alias("_bitmaps"))
+    ks = [f"k{i}" for i in range(len(keys))]
+    plain = spans.select(*(F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)), F.col(start).cast("int").alias("_s"), F.col(end).cast("int").alias("_e"))
+    plain = plain.where(F.col("_e") >= F.col("_s")).dropna().select(*(F.col(k).cast("string").alias(k) for k in ks), "_s", "_e")
+    parts = plain.mapInArrow(_bitmaps, f"{', '.join(f'{k} string' for k in ks)}, _shard int, _runs binary")
+    shares = _unite(parts.withColumn("_fan", F.pmod(F.xxhash64("_runs"), F.lit(fan)).cast("int")), [*ks, "_shard", "_fan"])
+    return _unite(shares, [*ks, "_shard"])
 
 
 def periods_and_gaps(spans: DataFrame, keys: list[str], start: str, end: str, max_gap: int | None = None) -> DataFrame:

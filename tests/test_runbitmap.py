@@ -1,6 +1,9 @@
 import random
 
-from spanlake.operators.runbitmap import covered, periods_and_gaps
+import numpy as np
+import pyarrow as pa
+
+from spanlake.operators.runbitmap import _united, covered, periods_and_gaps
 from tests.conftest import rows
 
 
@@ -38,3 +41,31 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     assert periods_and_gaps(frame(spark, []), ["a", "b"], "s", "e").count() == 0
     assert covered(frame(spark, []), ["a", "b"], "s", "e").count() == 0
+
+
+def test_many_bitmaps_of_one_shard():
+    """5,000 tasks saw the shard: what a union holds and gives is one bitmap, however many there are."""
+    rng = np.random.default_rng(3)
+    covers, batches = np.zeros(65_536, bool), []
+    for _ in range(50):
+        runs = []
+        for _ in range(100):
+            start = np.sort(rng.choice(60_000, 40, replace=False))
+            for at in start:
+                covers[at : at + 6] = True
+            runs.append(np.stack([start, np.full(40, 5)], 1).astype("<u2").tobytes())
+        batches.append(pa.record_batch({"k0": ["x"] * 100, "_shard": pa.array([7] * 100, pa.int32()), "_runs": runs}))
+    batches.append(pa.record_batch({"k0": ["y"], "_shard": pa.array([7], pa.int32()), "_runs": [np.array([[1, 0]], "<u2").tobytes()]}))
+    out = [r for b in _united(iter(batches)) for r in b.to_pylist()]
+    assert [(r["k0"], r["_shard"]) for r in out] == [("x", 7), ("y", 7)] and max(len(r["_runs"]) for r in out) <= 4 * 32_768
+    got = np.zeros(65_536, bool)
+    for s, n in np.frombuffer(out[0]["_runs"], "<u2").reshape(-1, 2).astype(int):
+        got[s : s + n + 1] = True
+    assert (got == covers).all()
+    assert list(_united(iter([]))) == []
+
+
+def test_fan(spark):
+    spans = [("x", "1", i, i + 3) for i in range(0, 9000, 5)]
+    want = brute(spans, None)
+    assert rows(periods_and_gaps(frame(spark, spans).repartition(40), ["a", "b"], "s", "e")) == want
