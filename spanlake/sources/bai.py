@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
 from spanlake.sources.bam import blocks, header
-from spanlake.sources.files import Piece
+from spanlake.sources.files import Piece, created, exists, opened
 
 #: (first bin, positions of a bin as a power of two) of the index's six levels.
 LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
@@ -18,7 +17,7 @@ class Chunk(Piece):
 
 
 def index_of(path: str) -> str | None:
-    return next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if os.path.exists(p)), None)
+    return next((p for p in (path + ".bai", path.removesuffix(".bam") + ".bai") if exists(p)), None)
 
 
 def bin_of(start: int, end: int) -> int:
@@ -35,7 +34,7 @@ def _bins(start: int, end: int) -> set[int]:
 
 def chunks(index: str, refs: set[int], start: int, end: int) -> list[tuple[int, int]]:
     """Merged stretches of virtual places that may hold records of ``refs`` over positions start to end - 1 (from 0)."""
-    with open(index, "rb") as f:
+    with opened(index) as f:
         data = f.read()
     if data[:4] != b"BAI\1":
         raise ValueError(f"{index} is no index")
@@ -64,7 +63,7 @@ def chunks(index: str, refs: set[int], start: int, end: int) -> list[tuple[int,
 
 def placed_records(path: str, start: int, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
     """The virtual place, the place after it, and the content of each record from ``start`` on, up to ``end``."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         data, skip, places = b"", start & 0xFFFF, []
 
         def place(offset: int) -> int:
@@ -114,6 +113,6 @@ def write_index(path: str) -> str:
             last = windows.get(w, last)
             filled.append(last)
         out += struct.pack("<i", n) + struct.pack(f"<{n}Q", *filled)
-    with open(path + ".bai", "wb") as f:
+    with created(path + ".bai") as f:
         f.write(out)
     return path + ".bai"

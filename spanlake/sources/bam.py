@@ -1,8 +1,8 @@
 """BAM files as a Spark data source, decoded in pure Python from the published format.
 
 A file is read in byte ranges, so one large file makes many tasks. A task looks for the first compressed block at or
-after its range's start and in it for the first place where several plausible records follow one another; the records
-of blocks that begin in its range are its own. Equality on ``sample_id`` leaves out files, conditions on ``contig`` and
+after its range's start and from it on, however far, for the first place where plausible records follow one another; the
+records that begin in blocks that begin in its range are its own, whatever their length. Equality on ``sample_id`` leaves out files, conditions on ``contig`` and
 positions leave out records before they are decoded further, and where an index (``.bai``) lies beside a file only its
 stretches for the contig and positions are read; only asked columns and tags are decoded.
 """
@@ -15,11 +15,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, In, LessThanOrEqual
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from spanlake.sources.files import SPLIT, Piece, listed, pieces, sample_of
+from spanlake.sources.files import SPLIT, Piece, listed, opened, pieces, sample_of
 
 # The columns of an aligned read, then the tags of the SAM format, with those that are whole numbers.
 COLUMNS = ("sample_id", "qname", "flag", "contig", "pos", "pos_start", "pos_end", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -65,7 +66,7 @@ def block_start(f, at: int, end: int) -> int | None:
 
 def header(path: str) -> tuple[list[str], int, int]:
     """Reference names, and the block and offset in it where the records begin."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         data, places = b"", []
 
         def need(n: int) -> None:
@@ -92,67 +93,130 @@ def header(path: str) -> tuple[list[str], int, int]:
         return names, block, at - base
 
 
-def _plausible(data: bytes, at: int, n_ref: int) -> int:
-    """The length of the record that could begin here, else 0."""
-    if at + 36 > len(data):
-        return 0
+_HEAD = 36
+#: Records that must follow one another from a place for it to be a start: so many, or two with so many bytes.
+_CERTAIN, _CERTAIN_BYTES = 5, 1 << 20
+
+
+def _plausible(data: bytearray, at: int, n_ref: int) -> int | None:
+    """The length of the record that could begin here, 0 if none can, null if more data must tell."""
+    if at + _HEAD > len(data):
+        return None
     size, ref, pos, name, _, _, cigar, _, seq, mate, mate_pos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
-    ok = 32 <= size < 1 << 26 and -1 <= ref < n_ref and -1 <= mate < n_ref and pos >= -1 and mate_pos >= -1 and name > 1 and seq >= 0 and size >= 32 + name + 4 * cigar + (seq + 1) // 2 + seq
-    if not ok or at + 36 + name > len(data):
+    if size < 32 or not -1 <= ref < n_ref or not -1 <= mate < n_ref or pos < -1 or mate_pos < -1 or name < 2 or seq < 0 or size < 32 + name + 4 * cigar + (seq + 1) // 2 + seq:
         return 0
-    raw = data[at + 36 : at + 35 + name]
-    return size + 4 if data[at + 35 + name] == 0 and all(33 <= c <= 126 for c in raw) else 0
-
-
-def _first_record(data: bytes, n_ref: int, certain: int) -> int | None:
-    """The first offset from which plausible records follow one another, up to the end or ``certain`` of them."""
-    for at in range(len(data) - 36):
-        spot, n = at, 0
-        while n < certain and (size := _plausible(data, spot, n_ref)):
-            spot, n = spot + size, n + 1
-        if n and (n >= certain or spot >= len(data) - 36):
-            return at
-    return None
+    if at + _HEAD + name + 4 * cigar > len(data):
+        return None
+    raw = data[at + _HEAD : at + _HEAD + name]
+    if raw[-1] != 0 or not all(33 <= c <= 126 for c in raw[:-1]):
+        return 0
+    ops = np.frombuffer(bytes(data[at + _HEAD + name : at + _HEAD + name + 4 * cigar]), "<u4")
+    read = int((ops >> 4)[np.isin(ops & 15, (0, 1, 4, 7, 8))].sum())
+    return size + 4 if (ops & 15 <= 8).all() and (not cigar or not seq or read == seq) else 0
+
+
+def _candidates(data: bytearray, start: int, end: int, n_ref: int) -> np.ndarray:
+    """Offsets from ``start`` to before ``end`` where the fixed fields could be a record's."""
+    raw = np.frombuffer(bytes(data[start : end - 1 + _HEAD]), np.uint8)
+    n = len(raw) - _HEAD + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    number = lambda k: (raw[k : k + n].astype(np.int64) | raw[k + 1 : k + 1 + n].astype(np.int64) << 8 | raw[k + 2 : k + 2 + n].astype(np.int64) << 16 | raw[k + 3 : k + 3 + n].astype(np.int64) << 24)
+    signed = lambda k: (x := number(k)) - ((x >> 31) << 32)
+    ok = (raw[12 : 12 + n] > 1) & (signed(0) >= 32)
+    for k in (4, 24):
+        x = signed(k)
+        ok &= (x >= -1) & (x < n_ref)
+    for k in (8, 20, 28):
+        ok &= signed(k) >= (0 if k == 20 else -1)
+    return start + np.flatnonzero(ok)
+
+
+class _Stream:
+    """The content of a file's blocks from one on. ``limit`` is where, in ``data``, the blocks that begin at or after ``end`` start."""
+
+    def __init__(self, f, at: int, end: int):
+        self.source, self.end, self.data = blocks(f, at), end, bytearray()
+        self.limit: int | None = None
+        self.ended = False
+
+    def more(self) -> bool:
+        if (got := next(self.source, None)) is None:
+            self.ended = True
+            return False
+        if self.limit is None and got[0] >= self.end:
+            self.limit = len(self.data)
+        self.data += got[1]
+        return True
+
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+        if self.limit is not None:
+            self.limit -= n
+
+    def follows(self, at: int, n_ref: int) -> bool:
+        """Whether records follow one another from here."""
+        begun, n = at, 0
+        while n < _CERTAIN and not (n > 1 and at - begun > _CERTAIN_BYTES):
+            if n and at == len(self.data) and not self.more():
+                return True
+            size = _plausible(self.data, at, n_ref) if at < len(self.data) else None
+            if size == 0:
+                return False
+            if size is None:
+                if not self.more():
+                    return False
+                continue
+            at, n = at + size, n + 1
+        return True
+
+    def start(self, n_ref: int) -> int | None:
+        """Where the first record begins before ``limit``, however far it is; what lies before is dropped on the way."""
+        seen = 0
+        while True:
+            upto = max(seen, len(self.data) - _HEAD + 1)
+            for at in _candidates(self.data, seen, upto if self.limit is None else min(upto, self.limit), n_ref):
+                if self.follows(int(at), n_ref):
+                    return int(at)
+            seen = upto
+            if self.limit is not None and seen >= self.limit:
+                return None
+            self.drop(seen)
+            seen = 0
+            if not self.more():
+                return None
 
 
 def records(path: str, start: int, end: int, names: list[str], first: tuple[int, int]) -> Iterator[bytes]:
-    """The records of the blocks that begin in the range, without their length."""
-    with open(path, "rb") as f:
-        if start <= first[0]:
-            at, skip = first
-        else:
-            at = block_start(f, start, end)
-            skip = None
-            if at is None:
-                return
-        if at >= end:
+    """The records that begin in the blocks that begin in the range, without their length."""
+    with opened(path) as f:
+        at = first[0] if start <= first[0] else block_start(f, start, end)
+        if at is None or at >= end:
             return
-        data, source, over = b"", blocks(f, at), False
-        if skip is None:  # a record from the range before may reach in: look for where one begins
-            for _ in range(4):
-                if (more := next(source, None)) is None:
-                    break
-                data += more[1]
-                over = over or more[0] >= end
-            skip = _first_record(data, len(names), 5)
-            if skip is None:
+        s = _Stream(f, at, end)
+        if start <= first[0]:
+            skip = first[1]
+        else:  # a record from the range before may reach in, or over the whole range
+            found = s.start(len(names))
+            if found is None:
                 return
-            source, data = blocks(f, at), b""
-        limit = None
-        for place, more in source:
-            if place >= end and limit is None:
-                limit = len(data)
-            data += more
-            while True:
-                if limit is not None and skip >= limit:
+            skip = found
+        while True:
+            while skip + 4 > len(s.data) or skip + 4 + struct.unpack_from("<i", s.data, skip)[0] > len(s.data):
+                if s.limit is not None and skip >= s.limit:
+                    return
+                gone = min(skip, len(s.data))
+                s.drop(gone)
+                skip -= gone
+                if not s.more():
+                    if s.data:
+                        raise ValueError(f"{path} ends within a record")
                     return
-                if skip + 4 > len(data) or skip + 4 + (size := struct.unpack_from("<i", data, skip)[0]) > len(data):
-                    break
-                yield data[skip + 4 : skip + 4 + size]
-                skip += 4 + size
-            if limit is not None:
-                limit -= skip
-            data, skip = data[skip:], 0
+            if s.limit is not None and skip >= s.limit:
+                return
+            size = struct.unpack_from("<i", s.data, skip)[0]
+            yield bytes(s.data[skip + 4 : skip + 4 + size])
+            skip += 4 + size
 
 
 def _tags(data: bytes, at: int, wanted: set[str]) -> dict[str, object]:
@@ -161,43 +225,87 @@ def _tags(data: bytes, at: int, wanted: set[str]) -> dict[str, object]:
         tag, kind, at = data[at : at + 2].decode(), chr(data[at + 2]), at + 3
         if kind in "ZH":
             stop = data.index(b"\0", at)
-            value: object = data[at:stop].decode("utf-8", "replace")
+            value: object = data[at:stop].decode("utf-8", "replace") if tag in wanted else None
             at = stop + 1
         elif kind == "B":
             code, n = _SIZES[chr(data[at])], struct.unpack_from("<i", data, at + 1)[0]
-            value = ",".join(map(str, struct.unpack_from(f"<{n}{code}", data, at + 5)))
+            value = struct.unpack_from(f"<{n}{code}", data, at + 5) if tag in wanted else None
             at += 5 + n * struct.calcsize(code)
         else:
             value = struct.unpack_from("<" + _SIZES[kind], data, at)[0]
             value = value.decode() if kind == "A" else value
             at += struct.calcsize(_SIZES[kind])
         if tag in wanted:
-            out[tag] = (value if isinstance(value, int) else None) if tag in INTEGER_TAGS else str(value)
+            out[tag] = value
     return out
 
 
-def decode(data: bytes, names: list[str], sample: str, wanted: list[str], tags: set[str]) -> dict[str, object]:
-    ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
-    at = 32 + l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", data, at)
-    name = lambda i: names[i] if i >= 0 else None
-    length = sum(o >> 4 for o in ops if o & 15 in (0, 2, 3, 7, 8))
-    row: dict[str, object] = {
-        "sample_id": sample, "qname": data[32 : 31 + l_name].decode(), "flag": flag, "contig": _bare(name(ref)), "pos": pos + 1, "pos_start": pos + 1, "pos_end": pos + max(length, 0) if pos >= 0 else 0,
-        "mapq": mapq, "rnext": "=" if mate == ref and mate >= 0 else name(mate) or "*", "pnext": mate_pos + 1, "tlen": tlen,
-    }
-    if "cigar" in wanted:
-        row["cigar"] = "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in ops) or "*"
-    at += 4 * n_cigar
-    if "seq" in wanted:
-        row["seq"] = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in data[at : at + (l_seq + 1) // 2])[:l_seq] or "*"
-    at += (l_seq + 1) // 2
-    if "qual" in wanted:
-        own = data[at : at + l_seq]
-        row["qual"] = "*" if not own or own[0] == 255 else bytes(q + 33 for q in own).decode("latin-1")
-    if tags:
-        row |= {f"tag_{t}": v for t, v in _tags(data, at + l_seq, tags).items()}
-    return row
+_PAIRS = np.array([ord(_SEQ[b >> 4]) | ord(_SEQ[b & 15]) << 8 for b in range(256)], "<u2")
+_QUALITY = bytes(min(q + 33, 255) for q in range(256))
+
+
+class Decoder:
+    """Records to columns: only what is asked for is decoded."""
+
+    def __init__(self, names: list[str], sample: str, wanted: list[str]):
+        self.names, self.sample, self.wanted = [*names, None], sample, wanted
+        self.bare = [_bare(n) for n in self.names]
+        self.tags = {c[4:] for c in wanted if c.startswith("tag_")}
+        self.rows: list[list] = [[] for _ in wanted]
+        self.n = 0
+        self.makers = [self._maker(c) for c in wanted]
+
+    def _maker(self, column: str):
+        if column.startswith("tag_"):
+            tag, whole = column[4:], column[4:] in INTEGER_TAGS
+
+            def of_tag(r: _Record):
+                v = r.tag_values.get(tag)
+                if v is None or isinstance(v, tuple):
+                    return None if v is None or whole else ",".join(map(str, v))
+                return (v if isinstance(v, int) else None) if whole else str(v)
+
+            return of_tag
+        names, bare, sample = self.names, self.bare, self.sample
+        return {
+            "sample_id": lambda r: sample, "qname": lambda r: r.data[32 : 31 + r.l_name].decode(), "flag": lambda r: r.flag, "contig": lambda r: bare[r.ref], "pos": lambda r: r.pos + 1, "pos_start": lambda r: r.pos + 1,
+            "pos_end": lambda r: r.pos + sum(o >> 4 for o in r.ops if o & 15 in (0, 2, 3, 7, 8)) if r.pos >= 0 else 0, "mapq": lambda r: r.mapq,
+            "cigar": lambda r: "".join(f"{o >> 4}{_CIGAR[o & 15]}" for o in r.ops) or "*", "rnext": lambda r: "=" if r.mate == r.ref and r.mate >= 0 else names[r.mate] or "*", "pnext": lambda r: r.mate_pos + 1, "tlen": lambda r: r.tlen,
+            "seq": lambda r: _PAIRS[np.frombuffer(r.data, np.uint8, (r.l_seq + 1) // 2, r.at_seq)].tobytes()[: r.l_seq].decode() or "*", "qual": lambda r: r.qual(),
+        }[column]
+
+    def add(self, data: bytes) -> None:
+        r = _Record(data, self.tags)
+        self.n += 1
+        for rows, make in zip(self.rows, self.makers, strict=True):
+            rows.append(make(r))
+
+    def batch(self, shape: pa.Schema) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.rows, shape, strict=True)], schema=shape) if self.wanted else pa.RecordBatch.from_struct_array(pa.array([{}] * self.n, pa.struct([])))
+        self.rows, self.n = [[] for _ in self.wanted], 0
+        return out
+
+
+class _Record:
+    __slots__ = ("at_seq", "data", "flag", "l_name", "l_seq", "mapq", "mate", "mate_pos", "ops", "pos", "ref", "tag_values", "tlen")
+
+    def __init__(self, data: bytes, tags: set[str]):
+        self.data = data
+        self.ref, self.pos, self.l_name, self.mapq, _, n_cigar, self.flag, self.l_seq, self.mate, self.mate_pos, self.tlen = struct.unpack_from("<iiBBHHHiiii", data)
+        at = 32 + self.l_name
+        self.ops: tuple[int, ...] = struct.unpack_from(f"<{n_cigar}I", data, at)
+        self.at_seq = at + 4 * n_cigar
+        at_tags = self.at_seq + (self.l_seq + 1) // 2 + self.l_seq
+        # more operations than a record can count stand in a tag, and two stand for them
+        long = n_cigar == 2 and self.ops[0] == self.l_seq << 4 | 4 and self.ops[1] & 15 == 3
+        self.tag_values = _tags(data, at_tags, tags | {"CG"} if long else tags) if tags or long else {}
+        if long and isinstance(self.tag_values.get("CG"), tuple):
+            self.ops = self.tag_values["CG"]
+
+    def qual(self) -> str:
+        at = self.at_seq + (self.l_seq + 1) // 2
+        own = self.data[at : at + self.l_seq]
+        return "*" if not own or own[0] == 255 else own.translate(_QUALITY).decode("latin-1")
 
 
 def _bare(contig: str | None) -> str | None:
@@ -256,28 +364,28 @@ class BamReader(DataSourceReader):
         if partition is None:  # Spark asks so where no file is left
             return
         names, block, offset = header(partition.path)
-        sample, w = sample_of(partition.path), self.wanted
-        columns = self.schema.fieldNames()
-        tags = {c[4:] for c in columns if c.startswith("tag_")}
+        w = self.wanted
         shape = pa.schema([(f.name, pa.int32() if isinstance(f.dataType, IntegerType) else pa.string()) for f in self.schema])
         kept = None if w.contigs is None else self._refs(names)
-        rows: list[dict] = []
+        out = Decoder(names, sample_of(partition.path), self.schema.fieldNames())
         from spanlake.sources.bai import Chunk, placed_records
 
         if isinstance(partition, Chunk):
             found = (body for _, _, body in placed_records(partition.path, partition.start, partition.end))
         else:
             found = records(partition.path, partition.start, partition.end, names, (block, offset))
+        size = 0
         for data in found:
             ref, pos = struct.unpack_from("<ii", data)
             if (kept is not None and ref not in kept) or (w.high is not None and pos + 1 > w.high):
                 continue
-            rows.append(decode(data, names, sample, columns, tags))
-            if len(rows) == 5000:
-                yield pa.RecordBatch.from_pylist(rows, shape)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, shape)
+            out.add(data)
+            size += len(data)
+            if out.n == 5000 or size > 32 << 20:  # long reads make short batches
+                yield out.batch(shape)
+                size = 0
+        if out.n:
+            yield out.batch(shape)
 
 
 class BamSource(DataSource):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
-from spanlake.sources.files import SPLIT, Piece, listed, pieces, sample_of
+from spanlake.sources.files import SPLIT, Piece, exists, listed, opened, pieces, sample_of, size_of
 
 FASTQ = "sample_id string, instrument_name string, run_id int, flowcell_id string, lane int, tile int, pos_x int, pos_y int, filter_passed boolean, control_num int, index_seq string, seq string, qual string"
 _FASTQ = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in FASTQ.split(", "))])
@@ -59,7 +59,7 @@ class FastqReader(DataSourceReader):
             return
         sample, rows = sample_of(partition.path), []
         shape = pa.schema([_FASTQ.field(c) for c in self.columns])
-        with open(partition.path, "rb") as f:
+        with opened(partition.path) as f:
             f.seek(partition.start)
             if partition.start:
                 f.seek(partition.start - 1)
@@ -77,7 +77,9 @@ class FastqReader(DataSourceReader):
                 name = line.decode().rstrip("\r\n")
                 if not name.strip():
                     continue
-                seq, _, qual = (f.readline().decode().rstrip("\r\n") for _ in range(3))
+                seq, plus, qual = (f.readline().decode().rstrip("\r\n") for _ in range(3))
+                if not name.startswith("@") or not plus.startswith("+") or len(qual) < len(seq):
+                    raise ValueError(f"{partition.path}: no whole record before byte {f.tell()}: {name[:80]}")
                 row = {"sample_id": sample, "seq": seq, "qual": qual} | read_name(name)
                 rows.append({c: row.get(c) for c in self.columns})
                 if len(rows) == 10_000:
@@ -116,11 +118,11 @@ class FastaReader(DataSourceReader):
     def partitions(self) -> list[Piece]:
         out: list[Piece] = []
         for p in listed(self.options["path"], (".fasta", ".fa")):
-            if os.path.exists(p + ".fai"):
-                with open(p + ".fai") as f:
-                    out += [_Contig(p, c[0], *map(int, c[1:5])) for c in (line.rstrip("\n").split("\t") for line in f) if len(c) >= 5]
+            if exists(p + ".fai"):
+                with opened(p + ".fai") as f:
+                    out += [_Contig(p, c[0], *map(int, c[1:5])) for c in (line.rstrip("\n").split("\t") for line in f.read().decode().splitlines()) if len(c) >= 5]
             else:
-                out.append(Piece(p, 0, os.path.getsize(p)))
+                out.append(Piece(p, 0, size_of(p)))
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ class FastaReader(DataSourceReader):
         def batch(contig: str, start: int, bases: str) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"contig": contig, "chunk_start": start, "bases": bases.upper()}], _FASTA)
 
-        with open(partition.path, encoding="ascii", newline="") as f:
+        with io.TextIOWrapper(opened(partition.path), encoding="ascii", newline="") as f:
             indexed = isinstance(partition, _Contig)
             f.seek(partition.start)
             contig, held, at, left = bare(partition.name) if indexed else None, "", 1, partition.length if indexed else None

@@ -1,17 +1,22 @@
+import os
 import random
 
 import pytest
+from pyarrow import fs
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanlake import cli
 from spanlake.converters import pileups as conv
 from spanlake.functions import quality
 from spanlake.session import Session
-from spanlake.sinks.bam import write_file
+from spanlake.sinks.bam import BamWriter, write_file
 from spanlake.sinks.tables import save_by_sample, write_pileup
-from spanlake.sources import register, text
+from spanlake.sources import files, register, text
 from spanlake.sources.bai import chunks, placed_records, write_index
-from spanlake.sources.bam import header, samples
+from spanlake.sources.bam import header, records, samples
 from spanlake.sources.sequences import read_name
 from tests.conftest import rows
 
@@ -107,6 +112,55 @@ def test_bam(spark, tmp_path):
         spark.read.format("cram").load(str(tmp_path)).count()
 
 
+@settings(max_examples=12, deadline=None, derandomize=True)
+@given(st.lists(st.sampled_from([0, 1, 40, 150, 5_000, 60_000, 400_000, 1_000_000]), min_size=1, max_size=60), st.integers(1, 1 << 30))
+def test_bam_splits(tmp_path_factory, lengths, seed):
+    """Reads of up to a million bases: every split size gives each record once."""
+    rng = random.Random(seed)
+    path = str(tmp_path_factory.mktemp("b") / "S.bam")
+    reads = []
+    for i, n in enumerate(lengths * (3 if sum(lengths) < 3_000_000 else 1)):
+        ops = f"{n}M" if n and rng.random() < 0.5 else f"{n // 2}M1D{n - n // 2}M" if n > 1 else "*"
+        reads.append({"qname": f"r{i}", "flag": 0, "contig": rng.choice(["chr1", None]), "mapq": 9, "cigar": ops, "pos_start": 5 + i, "seq": "".join(rng.choices("ACGT", k=n)) if n < 5000 else ("ACGTTGCA" * (n // 8 + 1))[:n], "qual": "".join(chr(rng.randint(33, 73)) for _ in range(min(n, 300))).ljust(n, "I")})
+    write_file(path, reads, {"chr1": 10_000_000})
+    names, block, offset = header(path)
+    size = os.path.getsize(path)
+    for split in {size, size // 2 + 1, size // 7 + 1, 70_000, rng.randint(3_000, 200_000)}:
+        got = [b[32 : 32 + b[8] - 1].decode() for at in range(0, size, split) for b in records(path, at, min(at + split, size), names, (block, offset))]
+        assert got == [r["qname"] for r in reads], split
+
+
+def test_bam_many_operations(spark, tmp_path):
+    register(spark)
+    cigar = "1M1I" * 40_000 + "5M"
+    write_file(str(tmp_path / "S.bam"), [{"qname": "a", "flag": 0, "contig": "1", "cigar": cigar, "pos_start": 7, "seq": "A" * 80_005, "qual": "I" * 80_005}], {"1": 99_999})
+    r = spark.read.format("bam").load(str(tmp_path)).first()
+    assert (r.cigar, r.pos_end, len(r.seq), r.mapq) == (cigar, 40_011, 80_005, 255)
+
+
+def test_bam_on_other_file_systems(tmp_path, monkeypatch):
+    write_file(str(tmp_path / "S1.bam"), reads_of(300, 3), {"chr1": 10_000, "chr2": 10_000})
+    assert files.listed(f"file://{tmp_path}/*.bam", (".bam",)) == files.listed(str(tmp_path), (".bam",)) == [str(tmp_path / "S1.bam")]
+    far = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    monkeypatch.setattr(files, "_system", lambda uri: (far, uri.removeprefix("far://box/")))
+    assert files.listed("far://box/*.bam", (".bam",)) == ["far://box/S1.bam"] and files.exists("far://box/S1.bam") and not files.exists("far://box/S2.bam")
+    names, block, offset = header("far://box/S1.bam")
+    assert sum(1 for _ in records("far://box/S1.bam", 0, files.size_of("far://box/S1.bam"), names, (block, offset))) == 300
+    writer = BamWriter({"path": "far://box/out", "contigs": "chr1:9,chr2:9", "sample": "S7"}, True)
+    for _ in range(2):
+        writer.commit([writer.write(iter([Row(**r) for r in reads_of(5, 1)]))])
+    assert len(files.listed("far://box/out", (".bam",))) == 1 and files.sample_of(files.listed("far://box/out/*.bam", ())[0]) == "S7"
+    with pytest.raises(FileNotFoundError):
+        files.listed(f"{tmp_path}/*.nothing", (".bam",))
+
+
+def test_fastq_cut_record(spark, tmp_path):
+    register(spark)
+    (tmp_path / "S1.fastq").write_text("@a\nACGT\n+\nIIII\n@b\nAC")
+    with pytest.raises(Exception, match="no whole record"):
+        spark.read.format("fastq").load(str(tmp_path)).collect()
+
+
 def test_index(spark, tmp_path):
     register(spark)
     reads = sorted((r for r in reads_of(20_000, 5) if r["contig"]), key=lambda r: (r["contig"], r["pos_start"]))
