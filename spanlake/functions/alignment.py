@@ -11,9 +11,12 @@ _OPS = re.compile(r"(\d+)([MIDNSHP=X])")
 _MD = re.compile(r"(\d+)|\^([A-Za-z]+)|([A-Za-z])")
 
 
+_BLOCK = "array<struct<s:int,e:int,i:int,m:int>>"
+
+
 def aligned_blocks(start: Column | str, cigar: Column | str) -> Column:
-    """Array of ``s``, ``e``, ``i``: the stretches of the reference a read is aligned to (M, = and X), and where in the
-    read's sequence (from 0) each begins.
+    """Array of ``s``, ``e``, ``i``, ``m``: the stretches of the reference a read is aligned to (M, = and X), where in the
+    read's sequence (from 0) each begins, and how many aligned and deleted bases are before it, as MD tags count.
 
     D and N move on along the reference without a block, I and S along the read; H and P don't move. A null or ``*``
     CIGAR, or one without such a stretch, gives an empty array.
@@ -21,20 +24,39 @@ def aligned_blocks(start: Column | str, cigar: Column | str) -> Column:
     start, cigar = (F.col(x) if isinstance(x, str) else x for x in (start, cigar))
     lengths = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIDNSHP=X]"), 1), lambda x: x.cast("int"))
     ops = F.regexp_extract_all(cigar, F.lit(r"\d+([MIDNSHP=X])"), 1)
-    block = "array<struct<s:int,e:int,i:int>>"
-    zero = F.struct(start.cast("int").alias("p"), F.lit(0).alias("i"), F.array().cast(block).alias("b"))
+    zero = F.struct(start.cast("int").alias("p"), F.lit(0).alias("i"), F.lit(0).alias("m"), F.array().cast(_BLOCK).alias("b"))
 
     def step(acc: Column, x: Column) -> Column:
         aligned, moved = x["op"].isin("M", "=", "X"), acc["p"] + x["n"]
-        own = F.array(F.struct(acc["p"].alias("s"), (moved - 1).cast("int").alias("e"), acc["i"].alias("i")))
+        own = F.array(F.struct(acc["p"].alias("s"), (moved - 1).cast("int").alias("e"), acc["i"].alias("i"), acc["m"].alias("m")))
         on = F.when(aligned | x["op"].isin("N", "D"), moved).otherwise(acc["p"])
         read = F.when(aligned | x["op"].isin("I", "S"), acc["i"] + x["n"]).otherwise(acc["i"])
-        return F.struct(on.cast("int").alias("p"), read.cast("int").alias("i"), F.when(aligned, F.concat(acc["b"], own)).otherwise(acc["b"]).alias("b"))
+        counted = F.when(aligned | (x["op"] == "D"), acc["m"] + x["n"]).otherwise(acc["m"])
+        return F.struct(on.cast("int").alias("p"), read.cast("int").alias("i"), counted.cast("int").alias("m"), F.when(aligned, F.concat(acc["b"], own)).otherwise(acc["b"]).alias("b"))
 
     folded = F.aggregate(F.arrays_zip(lengths.alias("n"), ops.alias("op")), zero, step, lambda acc: acc["b"])
-    simple = F.regexp_extract(cigar, r"^(\d+)[M=X]$", 1)
-    one = F.array(F.struct(start.cast("int").alias("s"), (start + simple.try_cast("int") - 1).cast("int").alias("e"), F.lit(0).alias("i")))
-    return F.when(cigar.isNull(), F.array().cast(block)).when(F.length(simple) > 0, one).otherwise(folded)
+    simple = one_block(cigar)
+    one = F.array(F.struct(start.cast("int").alias("s"), (start + simple - 1).cast("int").alias("e"), F.lit(0).alias("i"), F.lit(0).alias("m")))
+    return F.when(cigar.isNull(), F.array().cast(_BLOCK)).when(simple.isNotNull(), one).otherwise(folded)
+
+
+def one_block(cigar: Column) -> Column:
+    """The length of a CIGAR that is one aligned stretch, else null."""
+    return F.when(F.right(cigar, F.lit(1)).isin("M", "=", "X") & F.ascii(cigar).between(48, 57), F.left(cigar, F.length(cigar) - 1).try_cast("int"))
+
+
+def tagged_mismatches(md: Column) -> Column:
+    """Array of ``at``, ``ref``: the letters of an MD tag that aren't deleted ones, and the aligned and deleted bases before each."""
+    kind = "array<struct<at:int,ref:string>>"
+    parts = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Za-z]+|[A-Za-z])"), 1)
+
+    def step(acc: Column, x: Column) -> Column:
+        n = x.try_cast("int")
+        letter = n.isNull() & ~x.startswith("^")
+        on = acc["at"] + F.coalesce(n, F.when(letter, F.lit(1)).otherwise(F.length(x) - 1))
+        return F.struct(on.cast("int").alias("at"), F.when(letter, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.upper(x).alias("ref"))))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
 def indices_in_read(blocks: Column, position: Column) -> Column:

@@ -1,25 +1,63 @@
 """Joins of closed integer intervals.
 
-``binned`` (the default) cuts the axis into bins, repeats each interval in the bins it touches and joins on the keys and
-the bin, so Spark sees an equi-join whose groups don't grow with a whole contig; a pair is kept only in its first shared
-bin, so it comes out once without a DISTINCT. ``hash`` joins on the keys alone with the overlap as a residual, which is
-less work where the groups of a key are small. Which side is broadcast, and what is skewed, Spark decides by the measured
-sizes; ``broadcast_right`` asks for it where the caller knows a bound.
+``binned`` (the default) gives each interval a level by its length: at level k the axis is cut into bins of 4^k times the
+least bin, so an interval touches at most two bins of its own level or a higher one. It stands in the bins of its own
+level, and in those of each higher level that the other side has; a pair meets at the higher of its two levels, in its
+first shared bin there, so it comes out once without a DISTINCT. Spark sees an equi-join on the keys and the bin, whose
+groups don't grow with a whole contig, and the longest interval is some tens of rows. Which levels a side has is a scalar
+over two of its columns, worked out with the query; a side that is costly to make twice can be left unmeasured.
+
+``hash`` joins on the keys alone with the overlap as a residual, which is less work where the groups of a key are small.
+Which side is broadcast, and what is skewed, Spark decides by the measured sizes; ``broadcast_right`` asks for it where
+the caller knows a bound.
+
+Counting needs no pairs (``overlap_counts``): of the intervals of a key, those that overlap [s, e] are the ones that start
+up to e less the ones that end before s, and both are running sums over sorted positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 1024
+#: The least bin, and how many levels there are; each has bins four times as long as the one before.
+BIN, LEVELS = 64, 15
 SPAN = ("pos_start", "pos_end")
+TILE_BITS = 16
 
 
-def measured_bin(df: DataFrame, span: tuple[str, str] = SPAN) -> int:
-    """A bin of about twice the mean length, a power of two; takes a pass over two columns."""
-    mean = df.where(F.col(span[1]) >= F.col(span[0])).agg(F.avg(F.col(span[1]).cast("bigint") - F.col(span[0]))).first()[0]
-    return max(16, 1 << int(2 * (mean or 1)).bit_length())
+class _Bins:
+    """Keys of bins: the bin's number times 32, plus its level."""
+
+    def __init__(self, least: int):
+        self.bits = max(4, (least - 1).bit_length())
+
+    def level(self, start: Column, end: Column) -> Column:
+        """The first level whose bins are as long as the interval."""
+        length = end.cast("bigint") - start + 1
+        # a logarithm, not a list of cases: the code that Spark makes of it stays short enough for the JVM to compile
+        return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil((F.log2(length) - self.bits) / 2))).cast("int")
+
+    def key(self, position: Column, level: Column) -> Column:
+        return F.call_function("shiftright", position.cast("bigint"), (level * 2 + self.bits).cast("int")) * 32 + level
+
+    def levels(self, others: DataFrame | None, start: Column, end: Column) -> Column:
+        """For each level, itself and the higher ones that the intervals of ``others`` have: a scalar, or a constant of all levels.
+
+        A table of 15 short lists, worked out once, so that no row runs a function over an array.
+        """
+        every = range(LEVELS)
+        if others is None:
+            return F.array(*(F.array(*map(F.lit, range(own, LEVELS))) for own in every))
+        bit = F.call_function("shiftleft", F.lit(1), self.level(start, end))
+        mask = others.where(end >= start).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("mask"))
+        meets = lambda own: lambda k: (k == own) | ((k > own) & (F.call_function("shiftright", F.col("mask"), k) % 2 == 1))
+        return mask.select(F.array(*(F.filter(F.array(*map(F.lit, every)), meets(own)) for own in every)).alias("levels")).scalar()
+
+    def repeated(self, df: DataFrame, start: Column, end: Column, levels: Column, level: str, bin_: str) -> DataFrame:
+        """``df`` with a row for each bin: the interval's own ``level``, and ``bin_``."""
+        at = df.withColumn(level, self.level(start, end)).withColumn("_k", F.explode(F.element_at(levels, F.col(level) + 1)))
+        return at.withColumn(bin_, F.explode(F.sequence(self.key(start, F.col("_k")), self.key(end, F.col("_k")), F.lit(32).cast("bigint")))).drop("_k")
 
 
 def _renamed(left: DataFrame, right: DataFrame, suffix: str) -> dict[str, str]:
@@ -33,72 +71,113 @@ def _renamed(left: DataFrame, right: DataFrame, suffix: str) -> dict[str, str]:
     return out
 
 
-def _bins(start: Column, end: Column, size: int) -> Column:
-    return F.sequence(F.floor(start / size), F.floor(end / size))
-
-
 def interval_join(
     left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[tuple[str, str]] = ("contig",), how: str = "inner", left_span: tuple[str, str] = SPAN, right_span: tuple[str, str] = SPAN,
-    min_overlap: int = 1, max_gap: int = 0, plan: str = "binned", bin_size: int = BIN, broadcast_right: bool = False, suffix: str = "_right",
+    min_overlap: int = 1, max_gap: int = 0, plan: str = "binned", bin_size: int = BIN, broadcast_right: bool = False, suffix: str = "_right", measured: tuple[str, ...] = ("left", "right"),
 ) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal keys whose intervals share ``min_overlap`` positions, or lie at most ``max_gap`` apart.
 
-    ``keys`` are names, or pairs of names where they differ; none is allowed. ``how``: inner, left, left_semi, left_anti.
-    A right column whose name the left has gets ``suffix``. Repeated rows stay repeated. A null key or bound, or an
-    inverted interval, matches nothing (left and left_anti keep its row). With a ``max_gap`` above 0 and
-    ``min_overlap`` 1 the intervals needn't overlap. Empty tables give what SQL gives.
+    ``keys`` are names, or pairs of names where they differ; none is allowed. ``how``: inner, left, right, full, left_semi,
+    left_anti. A right column whose name the left has gets ``suffix``. Repeated rows stay repeated. A null key or bound,
+    or an inverted interval, matches nothing (outer and anti joins keep its row). With a ``max_gap`` above 0 and
+    ``min_overlap`` 1 the intervals needn't overlap. Empty tables give what SQL gives. ``bin_size`` is the least bin;
+    sides that aren't in ``measured`` are taken to have intervals of every length.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
+    if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
+    if plan not in ("binned", "hash"):
+        raise ValueError(f"plan: {plan}")
     names = _renamed(left, right, suffix)
     pairs = [(k, k) if isinstance(k, str) else k for k in keys]
-    right = right.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    pairs = [(a, names[b]) for a, b in pairs]
+    every = right.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    span2 = (names[right_span[0]], names[right_span[1]])
     s1, e1 = (F.col(c) for c in left_span)
-    s2, e2 = (F.col(names[c]) for c in right_span)
-    right = right.where(e2 >= s2)
+    s2, e2 = (F.col(c) for c in span2)
+    right = every.where(e2 >= s2)
     fits = (e1 + max_gap >= s2) & (s1 - max_gap <= e2) & (s1 <= e1)
     if min_overlap > 1:
         fits &= F.least(e1, e2) - F.greatest(s1, s2) + 1 >= min_overlap
-    equal = [F.col(a) == F.col(names[b]) for a, b in pairs]
     hinted = F.broadcast if broadcast_right else lambda df: df
+    equal = [F.col(a) == F.col(b) for a, b in pairs]
     if plan == "hash":
-        condition = fits
+        condition = fits & (e2 >= s2)
         for e in equal:
             condition = e & condition
-        return left.join(hinted(right), condition, how)
-    if plan != "binned":
-        raise ValueError(f"plan: {plan}")
-    if how == "left":
-        inner = interval_join(left, right, [(a, names[b]) for a, b in pairs], "inner", left_span, tuple(names[c] for c in right_span), min_overlap, max_gap, plan, bin_size, broadcast_right, suffix)
-        rest = interval_join(left, right, [(a, names[b]) for a, b in pairs], "left_anti", left_span, tuple(names[c] for c in right_span), min_overlap, max_gap, plan, bin_size, broadcast_right, suffix)
-        return inner.unionByName(rest, allowMissingColumns=True)
-    binned_right = right.withColumn("_bin2", F.explode(_bins(s2 - max_gap, e2 + max_gap, bin_size)))
-    valid = s1 <= e1
-    same = fits & (F.col("_bin1") == F.col("_bin2"))
+        return left.join(hinted(right if how in ("inner", "left", "left_semi", "left_anti") else every), condition, how)
+    same = {"left_span": left_span, "right_span": span2, "min_overlap": min_overlap, "max_gap": max_gap, "bin_size": bin_size, "broadcast_right": broadcast_right, "measured": measured}
+    if how in ("left", "right", "full"):
+        out = interval_join(left, every, pairs, **same)
+        if how != "right":
+            out = out.unionByName(interval_join(left, every, pairs, "left_anti", **same), allowMissingColumns=True)
+        if how != "left":
+            turned = same | {"left_span": span2, "right_span": left_span, "broadcast_right": False, "measured": tuple({"left": "right", "right": "left"}[m] for m in measured)}
+            out = out.unionByName(interval_join(every, left, [(b, a) for a, b in pairs], "left_anti", **turned), allowMissingColumns=True)
+        return out
+    bins = _Bins(bin_size)
+    from2, to2 = s2.cast("bigint") - max_gap, e2.cast("bigint") + max_gap
+    levels1 = bins.levels(left if "left" in measured else None, s1, e1)
+    levels2 = bins.levels(right if "right" in measured else None, from2, to2)
+    # the keys and the bin are one number, which joins faster; the condition tests the keys themselves
+    place1, place2 = (F.xxhash64(*(F.col(p[i]) for p in pairs), F.col(c)) for i, c in ((0, "_bin1"), (1, "_bin2")))
+    binned_right = bins.repeated(right, from2, to2, levels1, "_lv2", "_bin2").withColumn("_place2", place2)
+    met = F.col("_place1") == F.col("_place2")
     for e in equal:
-        same = e & same
+        met = met & e
+    met = met & fits & (F.col("_bin1") == F.col("_bin2"))
+    binned = bins.repeated(left.where(s1 <= e1) if how == "inner" else left.where(s1 <= e1).withColumn("_row", F.monotonically_increasing_id()), s1, e1, levels2, "_lv1", "_bin1").withColumn("_place1", place1)
     if how == "inner":
-        binned_left = left.where(valid).withColumn("_bin1", F.explode(_bins(s1, e1, bin_size)))
-        once = F.col("_bin1") == F.floor(F.greatest(s1, s2 - max_gap) / bin_size)
-        return binned_left.join(hinted(binned_right), same & once).drop("_bin1", "_bin2")
-    # an interval may match in several of its bins, or in some only: it is counted by its own number, given once
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
-    none = F.array(F.lit(None).cast("bigint"))
-    binned_left = numbered.withColumn("_all", F.when(valid, _bins(s1, e1, bin_size)).otherwise(none)).withColumn("_bin1", F.explode("_all")).withColumn("_n", F.size("_all")).drop("_all")
-    kept = binned_left.join(hinted(binned_right), same, how)
+        once = F.col("_bin1") == bins.key(F.greatest(s1.cast("bigint"), from2), F.greatest("_lv1", "_lv2"))
+        return binned.join(hinted(binned_right), met & once).drop("_bin1", "_bin2", "_lv1", "_lv2", "_place1", "_place2")
+    # an interval may match in several of its bins, or in some only: it is gathered by its own number, given once
     whole = F.struct(*left.columns)
     if how == "left_semi":
-        return kept.groupBy("_row").agg(F.first(whole).alias("_whole")).select("_whole.*")
-    return kept.groupBy("_row").agg(F.first(whole).alias("_whole"), F.count(F.lit(1)).alias("_without"), F.first("_n").alias("_n")).where("_without = _n").select("_whole.*")
+        return binned.join(hinted(binned_right), met, how).groupBy("_row").agg(F.first(whole).alias("_whole")).select("_whole.*")
+    found = hinted(binned_right.select("_place2", "_bin2", *span2, *(b for _, b in pairs)).withColumn("_hit", F.lit(1)))
+    gathered = binned.join(found, met, "left").groupBy("_row").agg(F.first(whole).alias("_whole"), F.max("_hit").alias("_hit"))
+    return gathered.where(F.col("_hit").isNull()).select("_whole.*").unionByName(left.where(~F.coalesce(s1 <= e1, F.lit(False))))
+
 
+def overlap_counts(intervals: DataFrame, targets: DataFrame, max_gap: int = 0, name: str = "n") -> DataFrame:
+    """``targets`` with the number (bigint) of ``intervals`` of the same ``contig`` that overlap each, or lie at most ``max_gap`` apart.
 
-def feature_counts(reads: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), **options) -> DataFrame:
+    No pair is made: starts and ends are summed by position, and the targets' bounds are looked up in running sums over
+    tiles of 65,536 positions and over the tiles' sums. Intervals with a null or inverted are left out; a target with a
+    null contig or bound, or an inverted one, counts 0. Repeated targets come out repeated.
+    """
+    columns = targets.columns
+    s, e = (F.col(c).cast("bigint") for c in SPAN)
+    ends = F.array(F.struct(s.alias("p"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(e.alias("p"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    points = intervals.where(F.col("contig").isNotNull() & (s <= e)).select("contig", F.explode(ends).alias("_x")).groupBy("contig", F.col("_x.p").alias("p")).agg(F.sum("_x.a").alias("a"), F.sum("_x.b").alias("b"))
+    counted = targets.groupBy(*columns).agg(F.count(F.lit(1)).alias("_m"))
+    whole = F.struct(*columns, "_m")
+    good = F.col("contig").isNotNull() & (s <= e)
+    asked = F.array(F.struct((e + max_gap).alias("p"), F.lit(1).alias("sign")), F.struct((s - max_gap - 1).alias("p"), F.lit(-1).alias("sign")))
+    asked = counted.where(good).select("contig", whole.alias("_whole"), F.explode(asked).alias("_x")).select("contig", F.col("_x.p").alias("p"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("_x.sign").alias("_sign"), "_whole")
+    nothing = F.lit(None)
+    rows = points.select("contig", "p", "a", "b", nothing.cast("int").alias("_sign"), nothing.cast(asked.schema["_whole"].dataType).alias("_whole")).unionByName(asked)
+    rows = rows.withColumn("_tile", F.shiftright("p", TILE_BITS))
+    order = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = rows.groupBy("contig", "_tile").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("contig", "_tile", F.coalesce(F.sum("a").over(order), F.lit(0)).alias("_a"), F.coalesce(F.sum("b").over(order), F.lit(0)).alias("_b"))
+    w = Window.partitionBy("contig", "_tile").orderBy("p")
+    seen = rows.join(tiles, ["contig", "_tile"]).withColumns({"_a": F.col("_a") + F.sum("a").over(w), "_b": F.col("_b") + F.sum("b").over(w)}).where(F.col("_sign").isNotNull())
+    n = seen.groupBy("_whole").agg(F.sum(F.when(F.col("_sign") > 0, F.col("_a")).otherwise(-F.col("_b"))).alias("_n")).select("_whole.*", "_n")
+    n = n.unionByName(counted.where(~F.coalesce(good, F.lit(False))).withColumn("_n", F.lit(0).cast("bigint")))
+    return n.select(*columns, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m")))).select(*columns, F.col("_n").alias(name))
+
+
+def feature_counts(reads: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), max_gap: int = 0, **options) -> DataFrame:
     """The targets' columns, ``length`` and ``n_reads`` of the reads that overlap each, also by columns ``by`` of the reads.
 
     Repeated targets are counted as one with all their matches, as in SQL's GROUP BY; a target without reads has no row.
+    Without ``by`` and further options of the join the reads are counted without pairing them (``overlap_counts``).
     """
-    joined = interval_join(reads.select("contig", *SPAN, *by), targets, suffix="_target", **options)
+    length = (F.col("pos_end") - F.col("pos_start") + 1).cast("int")
+    if not by and not options:
+        counted = overlap_counts(reads, targets, max_gap, "n_reads").where("n_reads > 0")
+        return counted.groupBy(*targets.columns).agg(F.sum("n_reads").alias("n_reads")).withColumn("length", length)
+    joined = interval_join(reads.select("contig", *SPAN, *by), targets, suffix="_target", max_gap=max_gap, **options)
     names = _renamed(reads.select("contig", *SPAN, *by), targets, "_target")
     targets_of = [F.col(n).alias(c) for c, n in names.items()]
     counted = joined.groupBy(*by, *targets_of).agg(F.count(F.lit(1)).alias("n_reads"))
-    return counted.withColumn("length", (F.col("pos_end") - F.col("pos_start") + 1).cast("int"))
+    return counted.withColumn("length", length)

@@ -1,65 +1,63 @@
 """Pileup: depth in blocks, with a row of its own for each position where a read differs from the reference.
 
-Mismatches come from the MD tag: by JVM expressions for reads that are one aligned stretch, in Arrow batches for the rest. Mismatches are
-counted per position and base before they are gathered, so a map holds at most the letters of a sequence. Blocks are the
-blocks of the coverage, cut at the mismatch positions. Base qualities are looked up only where there is a mismatch, by a
-binned join of the reads with these positions; the place in the read comes from the CIGAR string by JVM expressions.
+Mismatches come from the MD tag and their places from the CIGAR string, by JVM expressions, in the pass over the reads
+that gives the changes of depth. They are counted per position and base before they are gathered, so a map holds at most
+the letters of a sequence. Blocks are the blocks of the coverage, cut at the mismatch positions. Base qualities are looked
+up only where there is a mismatch, by a binned join of the reads with these positions, which is a second pass.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from spanlake.functions.alignment import aligned_blocks, indices_in_read, mismatches
+from spanlake.functions.alignment import aligned_blocks, indices_in_read, tagged_mismatches
 from spanlake.functions.contigs import plain_contig
 from spanlake.functions.quality import alt_total
-from spanlake.operators.coverage import FILTER_FLAG, aligned_changes, depth_blocks, usable
+from spanlake.operators.coverage import FILTER_FLAG, depth_blocks, usable
 from spanlake.operators.intervals import interval_join
-from spanlake.tables import checkpointed
 
 MAX_QUALITY = 40
 REVERSE = 16
 
 
-@F.pandas_udf(StringType())
-def _by_hand(start: pd.Series, cigar: pd.Series, md: pd.Series, seq: pd.Series, flag: pd.Series) -> pd.Series:
-    """The mismatches of reads with insertions, clips, deletions or skips, as ``position,base,reference;...``; null for the others, whose ``cigar`` is null."""
-    return pd.Series([
-        None if c is None else ";".join(f"{p},{b},{r}" for p, b, r in mismatches(int(s), c, m, q, bool(int(f) & REVERSE)))
-        for s, c, m, q, f in zip(start, cigar, md, seq, flag, strict=True)
-    ], dtype=object)
+#: What stands for a base that isn't one: the depth's own changes.
+_DEPTH = 0
 
 
-def mismatch_counts(reads: DataFrame) -> DataFrame:
-    """``contig`` (plain), ``pos``, ``base`` (lower case on the reverse strand), ``ref``, ``n``.
+def _events(reads: DataFrame) -> DataFrame:
+    """``contig`` (plain), ``p``, ``base``, ``d``, ``n``, ``ref``: summed changes of depth (base 0), and reads that differ, by the code of their base.
 
-    Where a read is one aligned stretch, its MD tag is read by JVM expressions; only the others go through Python, in the
-    same pass over the reads. Reads without an MD tag, or whose tag names no mismatch, are left out by the scan's filter.
+    One pass over the reads: each gives the ends of its aligned stretches and its mismatches, and both are summed before
+    the shuffle. Codes, not letters, so that a hash aggregate holds them.
     """
-    r = reads.where(F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("cigar").isNotNull() & F.col("seq").isNotNull() & F.col("flag").isNotNull())
-    whole = F.col("cigar").rlike(r"^[0-9]+[M=X]\z") & F.col("tag_md").rlike(r"^[0-9]+([A-Za-z][0-9]+)*\z")
-    same = F.transform(F.regexp_extract_all("tag_md", F.lit("([0-9]+)"), 1), lambda x: x.cast("int"))
+    blocks = aligned_blocks("pos_start", "cigar")
     reverse = F.col("flag").bitwiseAND(F.lit(REVERSE)) != 0
+    item = lambda p, base, d, ref: F.struct(p.cast("int").alias("p"), base.cast("int").alias("base"), d.alias("d"), ref.cast("int").alias("ref"))
+    zero = F.lit(_DEPTH)
+    ends = F.flatten(F.transform("_b", lambda b: F.array(item(b["s"], zero, F.lit(1), zero), item(b["e"] + 1, zero, F.lit(-1), zero))))
+
+    def found(m: Column) -> Column:
+        own = F.get(F.filter("_b", lambda b: (b["m"] <= m["at"]) & (m["at"] <= b["m"] + b["e"] - b["s"])), F.lit(0))
+        base = F.upper(F.substring(F.col("seq"), own["i"] + m["at"] - own["m"] + 1, F.lit(1)))
+        return item(own["s"] + m["at"] - own["m"], F.ascii(F.when(reverse, F.lower(base)).otherwise(base)), F.lit(0), F.ascii(m["ref"]))
+
+    tagged = F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("seq").isNotNull()
+    differing = F.when(tagged, F.filter(F.transform(tagged_mismatches(F.col("tag_md")), found), lambda x: x["p"].isNotNull() & (x["base"] != _DEPTH)))
+    out = reads.select(plain_contig("contig").alias("contig"), blocks.alias("_b"), "seq", "flag", "tag_md")
+    out = out.select("contig", F.explode(F.when(tagged, F.concat(ends, differing)).otherwise(ends)).alias("_e"))
+    return out.groupBy("contig", F.col("_e.p").alias("p"), F.col("_e.base").alias("base")).agg(F.sum("_e.d").alias("d"), F.count(F.lit(1)).cast("int").alias("n"), F.max("_e.ref").alias("ref"))
 
-    def found(letter: Column, i: Column) -> Column:
-        at = F.aggregate(F.slice(same, 1, i + 1), F.lit(0), lambda t, n: t + n) + i
-        base = F.substring(F.col("seq"), at + 1, F.lit(1))
-        return F.struct((F.col("pos_start") + at).cast("int").alias("pos"), F.when(reverse, F.lower(base)).otherwise(F.upper(base)).alias("base"), F.upper(letter).alias("ref"))
 
-    direct = F.transform(F.regexp_extract_all("tag_md", F.lit("([A-Za-z])"), 1), found)
-    hard = lambda c: F.when(~F.col("_whole"), F.col(c))
-    other = F.transform(F.filter(F.split("_said", ";"), lambda x: x != ""), lambda x: F.struct(F.get(F.split(x, ","), 0).cast("int").alias("pos"), F.get(F.split(x, ","), 1).alias("base"), F.get(F.split(x, ","), 2).alias("ref")))
-    rows = (
-        r.withColumn("_whole", whole).withColumn("_said", _by_hand("pos_start", hard("cigar"), hard("tag_md"), hard("seq"), "flag"))
-        .select(plain_contig("contig").alias("contig"), F.explode(F.when(F.col("_whole"), direct).otherwise(other)).alias("_m"))
-        .select("contig", "_m.pos", "_m.base", "_m.ref").where("base <> ''")
-    )
-    # as a number the reference's base can be held by a hash aggregate; as a string it would take a sort
-    counted = rows.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max(F.ascii("ref")).alias("ref"))
-    return counted.withColumn("ref", F.char("ref"))
+def _alts(events: DataFrame) -> DataFrame:
+    """``contig``, ``pos``, ``alts`` (base to reads), ``alt_ref`` of each position where a read differs: at most a map of the letters of a sequence."""
+    own = events.where(F.col("base") != _DEPTH)
+    return own.groupBy("contig", F.col("p").alias("pos")).agg(F.map_from_entries(F.collect_list(F.struct(F.char("base"), "n"))).alias("alts"), F.char(F.max("ref")).alias("alt_ref"))
+
+
+def mismatch_counts(reads: DataFrame) -> DataFrame:
+    """``contig`` (plain), ``pos``, ``base`` (lower case on the reverse strand), ``ref``, ``n``."""
+    return _events(reads).where(F.col("base") != _DEPTH).select("contig", F.col("p").alias("pos"), F.char("base").alias("base"), F.char("ref").alias("ref"), "n")
 
 
 def with_reference(blocks: DataFrame, reference: DataFrame) -> DataFrame:
@@ -68,7 +66,7 @@ def with_reference(blocks: DataFrame, reference: DataFrame) -> DataFrame:
     Where the reference has nothing, ``ref`` is null. A block that spans chunks is put together in their order.
     """
     chunks = reference.select(F.col("contig").alias("_contig"), F.col("chunk_start").alias("_from"), (F.col("chunk_start") + F.length("bases") - 1).alias("_to"), "bases")
-    cut = interval_join(blocks.select("contig", "pos_start", "pos_end"), chunks, [("contig", "_contig")], right_span=("_from", "_to"), bin_size=1 << 14)
+    cut = interval_join(blocks.select("contig", "pos_start", "pos_end"), chunks, [("contig", "_contig")], right_span=("_from", "_to"), measured=("right",))
     first = F.greatest(F.col("pos_start"), F.col("_from"))
     part = F.substring(F.col("bases"), first - F.col("_from") + 1, F.least(F.col("pos_end"), F.col("_to")) - first + 1)
     parts = cut.groupBy("contig", "pos_start", "pos_end").agg(F.array_sort(F.collect_list(F.struct(F.col("_from"), F.upper(part).alias("part")))).alias("_parts"))
@@ -85,10 +83,11 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     ``tag_md``; one without an MD tag only adds depth. Null bases or qualities are left out of ``quals``.
     """
     reads = usable(reads, filter_flag, min_mapq)
-    alts = mismatch_counts(reads).groupBy("contig", "pos").agg(F.map_from_entries(F.collect_list(F.struct("base", "n"))).alias("alts"), F.max("ref").alias("alt_ref"))
-    alts = checkpointed(alts)  # a row for each differing position: written once, instead of reading all tags for each use
-    cuts = alts.select("contig", F.explode(F.array("pos", F.col("pos") + 1)).alias("p"), F.lit(0).alias("d"), F.lit(1).alias("cut"))
-    blocks = depth_blocks(aligned_changes(reads, ["contig"]).union(cuts), ["contig"])
+    events = _events(reads)
+    alts = _alts(events)
+    at = F.array(F.struct(F.col("p"), "d", F.when(F.col("base") == _DEPTH, 0).otherwise(1).alias("cut")), F.when(F.col("base") != _DEPTH, F.struct((F.col("p") + 1).alias("p"), F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("cut"))))
+    changes = events.select("contig", F.explode(at).alias("_c")).where(F.col("_c").isNotNull()).select("contig", "_c.p", "_c.d", "_c.cut")
+    blocks = depth_blocks(changes, ["contig"])
     rows = blocks.join(alts.withColumnRenamed("pos", "pos_start"), ["contig", "pos_start"], "left")
     if reference is None:
         rows = rows.withColumn("ref", F.coalesce("alt_ref", F.lit("R")))
@@ -97,7 +96,7 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     if quals:
         points = alts.select("contig", "pos", "alt_ref")
         plain = reads.select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", aligned_blocks("pos_start", "cigar").alias("_b"), "seq", "qual", "flag").dropna()
-        at = interval_join(plain, points, right_span=("pos", "pos"), bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
+        at = interval_join(plain, points, right_span=("pos", "pos"), measured=("left",), bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
         own = F.upper(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
         base = F.when((F.col("flag").bitwiseAND(REVERSE) != 0) & (own != F.col("alt_ref")), F.lower(own)).otherwise(own)
         q = F.ascii(F.substring(F.col("qual"), F.col("_i"), F.lit(1))) - 33

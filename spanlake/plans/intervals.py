@@ -18,10 +18,7 @@ from spanlake.operators import coverage as cov
 from spanlake.operators.intervals import feature_counts, interval_join
 from spanlake.operators.pileup import pileup
 from spanlake.plans.problems import PLAIN
-from spanlake.tables import table
-
-#: Reads and targets of the star schema are some tens of positions long.
-BIN = 64
+from spanlake.tables import dealt, table
 
 READS = """SELECT CAST(l_suppkey % 5 AS VARCHAR(10)) AS contig, CAST(l_partkey AS INT) AS pos_start, CAST(l_partkey + CAST(l_quantity AS INT) - 1 AS INT) AS pos_end,
   l_returnflag AS strand, l_linestatus AS sample_id, l_linenumber AS n FROM lineitem"""
@@ -33,7 +30,7 @@ def _n(c: str):
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = dealt(table(spark, d, "lineitem"))
     return li.select((F.col("l_suppkey") % 5).cast("string").alias("contig"), _n("l_partkey").alias("pos_start"), (F.col("l_partkey") + _n("l_quantity") - 1).cast("int").alias("pos_end"), F.col("l_returnflag").alias("strand"), F.col("l_linestatus").alias("sample_id"), F.col("l_linenumber").alias("n"))
 
 
@@ -111,7 +108,7 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
 def _joined(keyed: bool = True, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, d):
         r, t = _sides(spark, d)
-        return _by_target(interval_join(r, t, [("contig", "t_contig")] if keyed else [], right_span=("t_start", "t_end"), bin_size=BIN, **options))
+        return _by_target(interval_join(r, t, [("contig", "t_contig")] if keyed else [], right_span=("t_start", "t_end"), **options))
 
     return run
 
@@ -127,18 +124,18 @@ _add("iv_max_gap", _by_target_sql("r.contig = t.contig AND r.pos_end + 20 >= t.p
 
 @_add("iv_feature_counts", f"""{_R} SELECT t.contig, t.pos_start, t.pos_end, name, count(*) AS n_reads, t.pos_end - t.pos_start + 1 AS length FROM r JOIN t ON {_EQ} GROUP BY ALL""")
 def iv_feature_counts(spark, d):
-    return feature_counts(reads(spark, d), targets(spark, d), bin_size=BIN)
+    return feature_counts(reads(spark, d), targets(spark, d))
 
 
 @_add("iv_multisample_counts", f"{_R} SELECT r.sample_id, t.contig, t.pos_start, t.pos_end, name, count(*) AS n_reads, t.pos_end - t.pos_start + 1 AS length FROM r JOIN t ON {_EQ} GROUP BY ALL")
 def iv_multisample_counts(spark, d):
-    return feature_counts(reads(spark, d), targets(spark, d), ("sample_id",), bin_size=BIN)
+    return feature_counts(reads(spark, d), targets(spark, d), ("sample_id",))
 
 
 def _existing(how: str, size: int) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, d):
         few = targets(spark, d).where(F.col("pos_end") - F.col("pos_start") < size)
-        return interval_join(targets(spark, d), few.select("contig", (F.col("pos_start") + 2).alias("s"), (F.col("pos_end") + 2).alias("e")), how=how, right_span=("s", "e"), bin_size=BIN)
+        return interval_join(targets(spark, d), few.select("contig", (F.col("pos_start") + 2).alias("s"), (F.col("pos_end") + 2).alias("e")), how=how, right_span=("s", "e"))
 
     return run
 
@@ -159,7 +156,7 @@ def iv_grange(spark, d):
 @_add("iv_first_overlapper", f"{_R} SELECT t.contig, t.pos_start, t.pos_end, name, min(r.pos_start) AS first_start, max(r.pos_end) AS last_end FROM r JOIN t ON {_EQ} GROUP BY ALL")
 def iv_first_overlapper(spark, d):
     r, t = _sides(spark, d)
-    j = interval_join(r, t, [("contig", "t_contig")], right_span=("t_start", "t_end"), bin_size=BIN)
+    j = interval_join(r, t, [("contig", "t_contig")], right_span=("t_start", "t_end"))
     return j.groupBy(F.col("t_contig").alias("contig"), F.col("t_start").alias("pos_start"), F.col("t_end").alias("pos_end"), "name").agg(F.min("pos_start").alias("first_start"), F.max("pos_end").alias("last_end"))
 
 
@@ -168,7 +165,7 @@ def iv_first_overlapper(spark, d):
 def iv_annotate(spark, d):
     a = table(spark, d, "alignment").where("pos_end >= pos_start").select(plain_contig("contig").alias("contig"), "pos_start", "pos_end").distinct()
     b = table(spark, d, "bed_feature").select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", "name")
-    return interval_join(b, a, max_gap=100_000, bin_size=1 << 17).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("pos_start_right").alias("first_start"))
+    return interval_join(b, a, max_gap=100_000).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("pos_start_right").alias("first_start"))
 
 
 # coverage ----------------------------------------------------------------------------------------------------------
@@ -228,7 +225,7 @@ _FILTERED = f"""WITH a AS (SELECT {PLAIN.format("contig")} AS contig, pos_start,
 
 @_add("cov_filtered", _FILTERED)
 def cov_filtered(spark, d):
-    return cov.coverage(table(spark, d, "alignment"), min_mapq=20)
+    return cov.coverage(dealt(table(spark, d, "alignment")), min_mapq=20)
 
 
 @_add("cov_spliced", f"""WITH r AS ({READS}), sp AS (SELECT contig, pos_start AS s, pos_end AS e FROM r UNION ALL SELECT contig, pos_end + 1 + n, pos_end + n + (pos_end - pos_start + 1) FROM r), {_blocks_sql("SELECT contig, CAST(s AS INTEGER) AS s, CAST(e AS INTEGER) AS e FROM sp")} SELECT * FROM blocks""")
@@ -241,7 +238,7 @@ def cov_spliced(spark, d):
 @_add("cov_target_stats", f"""{_BLOCKS}, t AS ({TARGETS}), j AS (SELECT t.*, coverage, least(b.pos_end, t.pos_end) - greatest(b.pos_start, t.pos_start) + 1 AS n FROM blocks b JOIN t ON b.contig = t.contig AND b.pos_end >= t.pos_start AND b.pos_start <= t.pos_end)
   SELECT contig, name, pos_start, pos_end, CAST(sum(n) AS BIGINT) AS n_bases, min(coverage) AS min_depth, CAST(sum(n * coverage) AS DOUBLE) / sum(n) AS mean_depth, max(coverage) AS max_depth FROM j GROUP BY ALL HAVING avg(coverage) > 0""")
 def cov_target_stats(spark, d):
-    return cov.target_depth(cov_blocks(spark, d), targets(spark, d).distinct(), bin_size=BIN)
+    return cov.target_depth(cov_blocks(spark, d), targets(spark, d).distinct())
 
 
 # pileup: each read has one mismatch, C in the reference, at its place n (within the read) ---------------------------

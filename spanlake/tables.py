@@ -1,22 +1,47 @@
-"""Where a query finds its tables, and the shared folder for checkpoints."""
+"""Where a query finds its tables, how small files are spread, and the shared folder for checkpoints."""
 
 from __future__ import annotations
 
 import tempfile
+from urllib.parse import unquote
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
+from spanlake.sources.files import opened
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of Parquet files over all cores, where the files have fewer row groups, which is what a scan can be split into.
+
+    For tables whose rows take long. Where there is a row group for each core, as in any large table, nothing is shuffled;
+    footers are read only where there are fewer files than cores.
+    """
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    groups = 0
+    for path in files:
+        with opened(unquote(path)) as f:
+            groups += pq.ParquetFile(f).num_row_groups
+    return df if groups >= cores else df.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, written to the shared folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) one is made here.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) gets one
+    here; on a cluster a folder of one machine would lose what the others wrote, so there it is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+            folder = tempfile.mkdtemp(prefix="spanlake-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
