@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,20 +47,6 @@ def one_block(cigar: Column) -> Column:
     return F.when(F.right(cigar, F.lit(1)).isin("M", "=", "X") & F.ascii(cigar).between(48, 57), F.left(cigar, F.length(cigar) - 1).try_cast("int"))
 
 
-def tagged_mismatches(md: Column) -> Column:
-    """Array of ``at``, ``ref``: the letters of an MD tag that aren't deleted ones, and the aligned and deleted bases before each."""
-    kind = "array<struct<at:int,ref:string>>"
-    parts = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Za-z]+|[A-Za-z])"), 1)
-
-    def step(acc: Column, x: Column) -> Column:
-        n = x.try_cast("int")
-        letter = n.isNull() & ~x.startswith("^")
-        on = acc["at"] + F.coalesce(n, F.when(letter, F.lit(1)).otherwise(F.length(x) - 1))
-        return F.struct(on.cast("int").alias("at"), F.when(letter, F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), F.upper(x).alias("ref"))))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-
-
 def indices_in_read(blocks: Column, position: Column) -> Column:
     """Array of where in the read (from 0) a reference position stands, by its ``aligned_blocks``: one index, or none in a
     deletion, a skip or outside."""
@@ -128,3 +116,63 @@ def mismatches(start: int, cigar: str, md: str, seq: str, reverse: bool) -> list
                 out.append((position + k - first, seq[i].lower() if reverse else seq[i].upper(), base.upper()))
         k += n
     return out
+
+
+# the same for whole batches, without a loop over reads ----------------------------------------------------------------
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column, and where each text begins in them, with the end; a null is empty."""
+    texts = texts.cast(pa.string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, row of each byte, whether it is a digit, and two running sums before each byte: of the numbers, of the letters."""
+    data, at = text_bytes(texts)
+    data, at = data[at[0] : at[-1]], at - at[0]
+    row = np.repeat(np.arange(len(texts)), np.diff(at))
+    digit = (data >= 48) & (data <= 57)
+    # a digit's place is the distance to the end of its number, which is the next byte that is none, or the row's end
+    place = np.arange(len(data))
+    stop = np.where(digit, len(data), place)
+    stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1] if len(stop) else stop, at[row + 1])
+    value = np.where(digit, (data.astype(np.int64) - 48) * 10 ** np.clip(stop - place - 1, 0, 17), 0)
+    letter = ~digit & (data != ord("^"))
+    before = lambda x: np.append(0, np.cumsum(x))
+    return data, row, digit, before(value), before(letter)
+
+
+def batch_blocks(start: np.ndarray, cigar: pa.Array) -> tuple[np.ndarray, ...]:
+    """The aligned stretches of a batch: row, first and last position, index in the read, aligned and deleted bases before (as ``aligned_blocks``)."""
+    data, row, digit, value, _ = _tokens(cigar)
+    op = np.flatnonzero(~digit)
+    code, own = data[op], row[op]
+    first = np.append(True, own[1:] != own[:-1]) if len(own) else np.zeros(0, bool)
+    n = value[op] - np.where(first, value[np.searchsorted(row, own)] if len(own) else 0, np.append(0, value[op[:-1]]) if len(op) else 0)
+    is_in = lambda letters: np.isin(code, np.frombuffer(letters, np.uint8))
+
+    def until(moves: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(np.where(moves, n, 0)))
+        return total[:-1] - total[np.searchsorted(own, own)] if len(own) else total[:0]
+
+    aligned = is_in(b"M=X")
+    here, index, counted = until(aligned | is_in(b"ND")), until(aligned | is_in(b"IS")), until(aligned | is_in(b"D"))
+    k = np.flatnonzero(aligned & (n > 0))
+    s = start[own[k]] + here[k]
+    return own[k], s, s + n[k] - 1, index[k], counted[k]
+
+
+def batch_mismatches(md: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mismatches of a batch of MD tags: row, aligned and deleted bases before, code of the reference's base (upper case)."""
+    data, row, digit, value, letters = _tokens(md)
+    place = np.arange(len(data))
+    alpha = ~digit & (data != ord("^"))
+    # a letter is a deleted base if what stands before its run of letters is a caret
+    mark = np.maximum.accumulate(np.where(alpha, -1, place)) if len(data) else place
+    deleted = alpha & (mark >= 0) & (data[mark] == ord("^")) & (row[mark] == row) if len(data) else alpha
+    k = np.flatnonzero(alpha & ~deleted)
+    begin = np.searchsorted(row, row[k])
+    return row[k], value[k] - value[begin] + letters[k] - letters[begin], data[k] & 0xDF

@@ -38,20 +38,25 @@ def _changes(spans: DataFrame, by: list[str], s: Column, e: Column) -> DataFrame
     return spans.select(*by, F.explode(both).alias("_c")).select(*by, F.col("_c.p").alias("p"), F.col("_c.d").alias("d"), F.lit(0).alias("cut"))
 
 
-def depth_blocks(changes: DataFrame, by: list[str], keep_zero: bool = False) -> DataFrame:
-    """``by``, ``pos_start``, ``pos_end``, ``coverage`` from rows ``by``, ``p``, ``d`` (change of depth at p), ``cut`` (1: a block begins here in any case)."""
-    points = changes.groupBy(*by, "p").agg(F.sum("d").alias("d"), F.max("cut").alias("cut")).where((F.col("d") != 0) | (F.col("cut") == 1)).drop("cut")
+def depth_blocks(changes: DataFrame, by: list[str], keep_zero: bool = False, carry: dict[str, Column] | None = None) -> DataFrame:
+    """``by``, ``pos_start``, ``pos_end``, ``coverage`` from rows ``by``, ``p``, ``d`` (change of depth at p), ``cut`` (1: a block begins here in any case).
+
+    ``carry`` names aggregates over the rows of a position, which go with the block that begins there.
+    """
+    carry = carry or {}
+    points = changes.groupBy(*by, "p").agg(F.sum("d").alias("d"), F.max("cut").alias("cut"), *(c.alias(n) for n, c in carry.items())).where((F.col("d") != 0) | (F.col("cut") == 1)).drop("cut")
     # never null, so that no null test is pushed into one use of the points alone: both uses share one shuffle
     points = points.withColumn("_tile", F.shiftright(F.coalesce("p", F.lit(0)), TILE_BITS))
     order = Window.partitionBy(*by).orderBy("_tile")
+    first = F.min(F.struct("p", *carry))["p"] if carry else F.min("p")  # reads what is carried, too, for the same reason
     tiles = (
-        points.groupBy(*by, "_tile").agg(F.sum("d").alias("_sum"), F.min("p").alias("_first"))
+        points.groupBy(*by, "_tile").agg(F.sum("d").alias("_sum"), first.alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("_after", F.lead("_first").over(order)).drop("_sum", "_first")
     )
     w = Window.partitionBy(*by, "_tile").orderBy("p")
     blocks = points.join(tiles, [*by, "_tile"]).select(
-        *by, F.col("p").alias("pos_start"), (F.coalesce(F.lead("p").over(w), F.col("_after")) - 1).cast("int").alias("pos_end"), (F.col("_before") + F.sum("d").over(w)).cast("int").alias("coverage")
+        *by, F.col("p").alias("pos_start"), (F.coalesce(F.lead("p").over(w), F.col("_after")) - 1).cast("int").alias("pos_end"), (F.col("_before") + F.sum("d").over(w)).cast("int").alias("coverage"), *carry
     )
     return blocks.where(F.col("pos_end").isNotNull() & (F.col("coverage") >= 0 if keep_zero else F.col("coverage") > 0))
 

@@ -1,17 +1,21 @@
 """Pileup: depth in blocks, with a row of its own for each position where a read differs from the reference.
 
-Mismatches come from the MD tag and their places from the CIGAR string, by JVM expressions, in the pass over the reads
-that gives the changes of depth. They are counted per position and base before they are gathered, so a map holds at most
+Mismatches come from the MD tag and their places from the CIGAR string, in Arrow batches, in the pass over the reads that
+gives the changes of depth. They are counted per position and base before they are gathered, so a map holds at most
 the letters of a sequence. Blocks are the blocks of the coverage, cut at the mismatch positions. Base qualities are looked
 up only where there is a mismatch, by a binned join of the reads with these positions, which is a second pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.alignment import aligned_blocks, indices_in_read, tagged_mismatches
+from spanlake.functions.alignment import aligned_blocks, batch_blocks, batch_mismatches, indices_in_read, text_bytes
 from spanlake.functions.contigs import plain_contig
 from spanlake.functions.quality import alt_total
 from spanlake.operators.coverage import FILTER_FLAG, depth_blocks, usable
@@ -25,34 +29,55 @@ REVERSE = 16
 _DEPTH = 0
 
 
+def _batch_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads to summed changes of depth and mismatches, a row for each contig, position and base of a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        contig = b.column("contig").dictionary_encode()
+        code = contig.indices.to_numpy().astype(np.int64)
+        row, s, e, index, counted = batch_blocks(b.column("pos_start").to_numpy().astype(np.int64), b.column("cigar").fill_null(""))
+        at, k, ref = batch_mismatches(b.column("tag_md").fill_null(""))
+        # the stretch of each mismatch: the last of its read that begins, as the tag counts, at or before it
+        width = int(max(counted.max(initial=0), k.max(initial=0))) + 1
+        j = np.searchsorted(row * width + counted, at * width + k, "right") - 1
+        ok = (j >= 0) & (row[j] == at) & (k - counted[j] <= e[j] - s[j]) if len(row) else np.zeros(len(at), bool)
+        at, k, ref, j = at[ok], k[ok], ref[ok], j[ok]
+        letters, begin = text_bytes(b.column("seq").fill_null(""))
+        i = index[j] + k - counted[j]
+        ok = i < (begin[1:] - begin[:-1])[at]
+        at, k, ref, j, i = at[ok], k[ok], ref[ok], j[ok], i[ok]
+        base = letters[begin[at] + i] & 0xDF
+        reverse = (b.column("flag").fill_null(0).to_numpy().astype(np.int64) & REVERSE) != 0
+        base = np.where(reverse[at], base | 0x20, base).astype(np.int64)
+        n_ends = len(row)
+        p = np.concatenate([s, e + 1, s[j] + k - counted[j]])
+        key = np.concatenate([code[row], code[row], code[at]]) << 40 | p << 8 | np.concatenate([np.full(2 * n_ends, _DEPTH), base])
+        d = np.concatenate([np.ones(n_ends, np.int64), np.full(n_ends, -1), np.zeros(len(at), np.int64)])
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)) if len(key) else np.zeros(0, np.int64)
+        held = key[order][first]
+        total = np.add.reduceat(d[order], first) if len(first) else first
+        n = np.diff(np.append(first, len(key)))
+        refs = np.concatenate([np.zeros(2 * n_ends, np.int64), ref])[order][first]
+        kept = (total != 0) | (held & 0xFF != _DEPTH)
+        held, total, n, refs = held[kept], total[kept], n[kept], refs[kept]
+        columns = [contig.dictionary.take(pa.array(held >> 40)), pa.array((held >> 8 & 0xFFFFFFFF).astype(np.int32)), pa.array((held & 0xFF).astype(np.int32)), pa.array(total), pa.array(n.astype(np.int64)), pa.array(refs.astype(np.int32))]
+        yield pa.record_batch(columns, names=["contig", "p", "base", "d", "n", "ref"])
+
+
 def _events(reads: DataFrame) -> DataFrame:
     """``contig`` (plain), ``p``, ``base``, ``d``, ``n``, ``ref``: summed changes of depth (base 0), and reads that differ, by the code of their base.
 
-    One pass over the reads: each gives the ends of its aligned stretches and its mismatches, and both are summed before
-    the shuffle. Codes, not letters, so that a hash aggregate holds them.
+    One pass over the reads in Arrow batches, as array expressions over a whole batch: the same as functions over the
+    arrays of each row takes Spark ten times as long. Each batch is summed before it is handed on. Sequences and tags
+    are handed over only where the tag names a mismatch. Positions are those of the format, from 1 to 2^31 - 1.
     """
-    blocks = aligned_blocks("pos_start", "cigar")
-    reverse = F.col("flag").bitwiseAND(F.lit(REVERSE)) != 0
-    item = lambda p, base, d, ref: F.struct(p.cast("int").alias("p"), base.cast("int").alias("base"), d.alias("d"), ref.cast("int").alias("ref"))
-    zero = F.lit(_DEPTH)
-    ends = F.flatten(F.transform("_b", lambda b: F.array(item(b["s"], zero, F.lit(1), zero), item(b["e"] + 1, zero, F.lit(-1), zero))))
-
-    def found(m: Column) -> Column:
-        own = F.get(F.filter("_b", lambda b: (b["m"] <= m["at"]) & (m["at"] <= b["m"] + b["e"] - b["s"])), F.lit(0))
-        base = F.upper(F.substring(F.col("seq"), own["i"] + m["at"] - own["m"] + 1, F.lit(1)))
-        return item(own["s"] + m["at"] - own["m"], F.ascii(F.when(reverse, F.lower(base)).otherwise(base)), F.lit(0), F.ascii(m["ref"]))
-
-    tagged = F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("seq").isNotNull()
-    differing = F.when(tagged, F.filter(F.transform(tagged_mismatches(F.col("tag_md")), found), lambda x: x["p"].isNotNull() & (x["base"] != _DEPTH)))
-    out = reads.select(plain_contig("contig").alias("contig"), blocks.alias("_b"), "seq", "flag", "tag_md")
-    out = out.select("contig", F.explode(F.when(tagged, F.concat(ends, differing)).otherwise(ends)).alias("_e"))
-    return out.groupBy("contig", F.col("_e.p").alias("p"), F.col("_e.base").alias("base")).agg(F.sum("_e.d").alias("d"), F.count(F.lit(1)).cast("int").alias("n"), F.max("_e.ref").alias("ref"))
-
-
-def _alts(events: DataFrame) -> DataFrame:
-    """``contig``, ``pos``, ``alts`` (base to reads), ``alt_ref`` of each position where a read differs: at most a map of the letters of a sequence."""
-    own = events.where(F.col("base") != _DEPTH)
-    return own.groupBy("contig", F.col("p").alias("pos")).agg(F.map_from_entries(F.collect_list(F.struct(F.char("base"), "n"))).alias("alts"), F.char(F.max("ref")).alias("alt_ref"))
+    differs = F.col("tag_md").rlike("(^|[0-9])[A-Za-z]") & F.col("seq").isNotNull()
+    needed = reads.where(F.col("contig").isNotNull() & F.col("pos_start").isNotNull() & F.col("cigar").isNotNull()).select(
+        plain_contig("contig").alias("contig"), F.col("pos_start").cast("int").alias("pos_start"), "cigar", "flag", F.when(differs, F.col("tag_md")).alias("tag_md"), F.when(differs, F.col("seq")).alias("seq"))
+    events = needed.mapInArrow(_batch_events, "contig string, p int, base int, d bigint, n bigint, ref int")
+    return events.groupBy("contig", "p", "base").agg(F.sum("d").alias("d"), F.sum("n").cast("int").alias("n"), F.max("ref").alias("ref"))
 
 
 def mismatch_counts(reads: DataFrame) -> DataFrame:
@@ -84,17 +109,22 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     """
     reads = usable(reads, filter_flag, min_mapq)
     events = _events(reads)
-    alts = _alts(events)
-    at = F.array(F.struct(F.col("p"), "d", F.when(F.col("base") == _DEPTH, 0).otherwise(1).alias("cut")), F.when(F.col("base") != _DEPTH, F.struct((F.col("p") + 1).alias("p"), F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("cut"))))
-    changes = events.select("contig", F.explode(at).alias("_c")).where(F.col("_c").isNotNull()).select("contig", "_c.p", "_c.d", "_c.cut")
-    blocks = depth_blocks(changes, ["contig"])
-    rows = blocks.join(alts.withColumnRenamed("pos", "pos_start"), ["contig", "pos_start"], "left")
+    differs = F.col("base") != _DEPTH
+    kept = lambda c: F.when(differs, F.col(c))
+    own = F.struct(F.col("p"), "d", differs.cast("int").alias("cut"), kept("base").alias("base"), kept("n").alias("n"), kept("ref").alias("ref"))
+    nothing = F.lit(None).cast("int")
+    after = F.struct((F.col("p") + 1).alias("p"), F.lit(0).cast("bigint").alias("d"), F.lit(1).alias("cut"), nothing.alias("base"), nothing.alias("n"), nothing.alias("ref"))
+    changes = events.select("contig", F.explode(F.when(differs, F.array(own, after)).otherwise(F.array(own))).alias("_c")).select("contig", "_c.*")
+    # a position where reads differ is a block of its own, so its bases go with the block that begins there
+    held = {"_bases": F.sort_array(F.collect_list(F.when(F.col("base").isNotNull(), F.struct("base", "n")))), "_ref": F.max("ref")}
+    rows = depth_blocks(changes, ["contig"], carry=held)
+    rows = rows.withColumns({"alts": F.when(F.size("_bases") > 0, F.map_from_entries(F.transform("_bases", lambda x: F.struct(F.char(x["base"]).alias("key"), x["n"].alias("value"))))), "alt_ref": F.char("_ref")}).drop("_bases", "_ref")
     if reference is None:
         rows = rows.withColumn("ref", F.coalesce("alt_ref", F.lit("R")))
     else:
         rows = with_reference(rows, reference)
     if quals:
-        points = alts.select("contig", "pos", "alt_ref")
+        points = events.where(differs).groupBy("contig", F.col("p").alias("pos")).agg(F.char(F.max("ref")).alias("alt_ref"))
         plain = reads.select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", aligned_blocks("pos_start", "cigar").alias("_b"), "seq", "qual", "flag").dropna()
         at = interval_join(plain, points, right_span=("pos", "pos"), measured=("left",), bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
         own = F.upper(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
