@@ -46,7 +46,7 @@ def main(arguments: list[str] | None = None) -> None:
     t = targets(session.spark, a.annotations)
     t = t.select(F.col("GeneID").alias("GeneId"), F.regexp_replace("Chr", "^chr", "").alias("contig"), F.col("Start").cast("int").alias("pos_start"), F.col("End").cast("int").alias("pos_end"), F.col("Strand"))
     out = feature_counts(reads, t).select("GeneId", F.col("contig").alias("Chr"), F.col("pos_start").alias("Start"), F.col("pos_end").alias("End"), "Strand", F.col("length").alias("Length"), F.col("n_reads").alias("Counts"))
-    write_report(out, a.output, ["GeneId"])
+    write_report(out, a.output, ["GeneId"], single_file=True)  # a row for each target
 
 
 if __name__ == "__main__":

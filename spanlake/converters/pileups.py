@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.contigs import plain_contig
 from spanlake.functions.quality import altmap_to_str, qualsmap_to_str
+from spanlake.operators.intervals import TILE_BITS
 
 _INDEL = re.compile(r"[+-](\d+)")
 
@@ -94,12 +95,24 @@ def blocks_to_bases(blocks: DataFrame) -> DataFrame:
 
 
 def bases_to_blocks(bases: DataFrame) -> DataFrame:
-    """Successive positions of equal depth without differing bases as one block; others stay by themselves."""
-    w = Window.partitionBy("contig").orderBy("pos_start")
-    same = (F.lag("pos_start").over(w) + 1 == F.col("pos_start")) & (F.lag("coverage").over(w) == F.col("coverage")) & F.col("alts").isNull() & F.lag(F.col("alts").isNull()).over(w)
-    marked = bases.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    """Successive positions of equal depth without differing bases as one block; others stay by themselves.
+
+    Where a block starts is found within tiles of 65,536 positions, and over the tiles' ends, so that no task holds a
+    whole contig's positions.
+    """
+    tiled = bases.withColumn("_tile", F.shiftright("pos_start", TILE_BITS)).withColumn("_plain", F.col("alts").isNull())
+    order = Window.partitionBy("contig").orderBy("_tile")
+    here = F.struct("pos_start", "coverage", "_plain")
+    ends = tiled.groupBy("contig", "_tile").agg(F.max(here).alias("_end")).withColumn("_prior", F.lag("_end").over(order)).drop("_end")
+    w = Window.partitionBy("contig", "_tile").orderBy("pos_start")
+    before = F.coalesce(F.lag(here).over(w), F.col("_prior"))
+    goes_on = (before["pos_start"] + 1 == F.col("pos_start")) & (before["coverage"] == F.col("coverage")) & F.col("_plain") & before["_plain"]
+    marked = tiled.join(ends, ["contig", "_tile"]).withColumn("_begin", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("pos_start")))
+    begun = marked.groupBy("contig", "_tile").agg(F.max("_begin").alias("_b")).withColumn("_carried", F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))).drop("_b")
+    run = F.coalesce(F.max("_begin").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
     ref = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos_start", "ref"))), lambda x: x["ref"]), "")
-    return marked.groupBy("contig", "_run", "coverage").agg(F.min("pos_start").alias("s"), F.max("pos_end").alias("e"), ref.alias("ref"), F.first("alts").alias("alts"), F.first("quals").alias("quals")).select("contig", F.col("s").alias("pos_start"), F.col("e").alias("pos_end"), "ref", "coverage", "alts", "quals")
+    runs = marked.join(begun, ["contig", "_tile"]).withColumn("_run", run).groupBy("contig", "_run", "coverage")
+    return runs.agg(F.max("pos_end").alias("e"), ref.alias("ref"), F.first("alts").alias("alts"), F.first("quals").alias("quals")).select("contig", F.col("_run").alias("pos_start"), F.col("e").alias("pos_end"), "ref", "coverage", "alts", "quals")
 
 
 def maps_to_strings(common: DataFrame) -> DataFrame:

@@ -91,17 +91,11 @@ REGISTERED = (
 )
 
 
-def _free(spark: SparkSession, name: str) -> None:
-    """Takes a built-in function of this name (``reflect``) out of the session, which else refuses to have it replaced."""
-    identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
-    spark._jsparkSession.sessionState().functionRegistry().dropFunction(identifier)
-
-
 def register(spark: SparkSession, prefixes: tuple[str, ...]) -> None:
     for prefix in prefixes:
         for name, parameters, result, body in REGISTERED:
-            if prefix + name == "reflect":
-                _free(spark, name)
+            if prefix + name == "reflect":  # Spark has a function of this name, which stays; the prefixed one is ours
+                continue
             spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {result} RETURN {body}")
         spark.sql(
             f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}grange(c STRING, s INT, e INT) RETURNS TABLE (contig STRING, pos_start INT, pos_end INT) RETURN SELECT c, s, e"

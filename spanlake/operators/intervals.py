@@ -48,11 +48,18 @@ class _Bins:
         """
         every = range(LEVELS)
         if others is None:
-            return F.array(*(F.array(*map(F.lit, range(own, LEVELS))) for own in every))
-        bit = F.call_function("shiftleft", F.lit(1), self.level(start, end))
-        mask = others.where(end >= start).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("mask"))
+            return self.levels_of((1 << LEVELS) - 1)
         meets = lambda own: lambda k: (k == own) | ((k > own) & (F.call_function("shiftright", F.col("mask"), k) % 2 == 1))
-        return mask.select(F.array(*(F.filter(F.array(*map(F.lit, every)), meets(own)) for own in every)).alias("levels")).scalar()
+        return self.mask(others, start, end).select(F.array(*(F.filter(F.array(*map(F.lit, every)), meets(own)) for own in every)).alias("levels")).scalar()
+
+    def mask(self, df: DataFrame, start: Column, end: Column) -> DataFrame:
+        """One row: ``mask``, whose bits are the levels that ``df`` has."""
+        bit = F.call_function("shiftleft", F.lit(1), self.level(start, end))
+        return df.where(end >= start).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("mask"))
+
+    @staticmethod
+    def levels_of(mask: int) -> Column:
+        return F.array(*(F.array(*(F.lit(k) for k in range(own, LEVELS) if k == own or mask >> k & 1)) for own in range(LEVELS)))
 
     def repeated(self, df: DataFrame, start: Column, end: Column, levels: Column, level: str, bin_: str) -> DataFrame:
         """``df`` with a row for each bin: the interval's own ``level``, and ``bin_``."""

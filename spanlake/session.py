@@ -5,26 +5,33 @@
     s.sql("SELECT * FROM coverage('reads', 'NA12878', 'ref.fa')")
 
 The table functions are put in as views of native plans, so filters and column selections around them reach the scan.
-Settings of the session: ``spanlake.filterFlag``, ``spanlake.minMapQual``, ``spanlake.maxBaseQuality``.
+Settings of the session: ``spanlake.filterFlag``, ``spanlake.minMapQual``, ``spanlake.maxBaseQuality``; for overlap joins in
+SQL ``spanlake.minOverlap``, ``spanlake.maxGap``, ``spanlake.useJoinOrder`` (the right side is broadcast) and
+``spanlake.rangeJoin`` (``false`` leaves them to Spark); ``spanlake.allPositions`` puts uncovered stretches between blocks.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake import sources
 from spanlake.functions import quality, ranges
-from spanlake.operators.coverage import FILTER_FLAG, coverage
+from spanlake.operators.coverage import FILTER_FLAG, coverage, per_base, windows
 from spanlake.operators.pileup import MAX_QUALITY, pileup
+from spanlake.operators.sqljoin import planned
 from spanlake.sources.bam import samples as bam_samples
 
 #: SQL functions are registered bare and under the prefix that existing queries use.
 PREFIXES = ("", "bdg_")
-_CALL = re.compile(r"\b(coverage|pileup)\s*\(\s*((?:'[^']*'|\"[^\"]*\"|[^()'\"])*)\)", re.IGNORECASE)
+_SKIPPED = r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/"
+_CALL = re.compile(rf"(?is)(?P<skipped>{_SKIPPED})|(?P<before>(?:\bFROM|\bJOIN|,)\s*)(?P<name>coverage|pileup)\s*\(\s*(?P<given>(?:'[^']*'|\"[^\"]*\"|[^()'\"])*)\)")
 _LITERAL = re.compile(r"'[^']*'|\"[^\"]*\"|[^,\s]+")
+#: How a setting says yes.
+_TRUE = ("true", "1")
 
 
 def register(spark: SparkSession, prefixes: tuple[str, ...] = PREFIXES) -> SparkSession:
@@ -37,7 +44,7 @@ def register(spark: SparkSession, prefixes: tuple[str, ...] = PREFIXES) -> Spark
 
 class Session:
     def __init__(self, spark: SparkSession, prefixes: tuple[str, ...] = PREFIXES):
-        self.spark, self._views = register(spark, prefixes), 0
+        self.spark = register(spark, prefixes)
 
     def _setting(self, name: str, default: int) -> int:
         return int(self.spark.conf.get(f"spanlake.{name}", str(default)))
@@ -55,31 +62,56 @@ class Session:
         return sorted(r[0] for r in self.reads(source).select("sample_id").distinct().collect() if r[0] is not None)
 
     def reference(self, path: str | None) -> DataFrame | None:
-        return None if path is None else self.spark.read.format("fasta").load(path)
+        return None if not path else self.spark.read.format("fasta").load(path)
 
     def coverage(self, source: DataFrame | str, reference: str | None = None, sample: str | None = None) -> DataFrame:
         """Blocks of equal depth. ``reference`` is taken for the sake of the call: blocks say ``R`` for it."""
-        return coverage(self.reads(source, sample), ("contig",), self._setting("filterFlag", FILTER_FLAG), self._setting("minMapQual", 0))
+        reads, lengths = self.reads(source, sample), None
+        if self.spark.conf.get("spanlake.allPositions", "false").lower() in _TRUE and reference:
+            lengths = self.reference(reference).groupBy("contig").agg(F.max(F.col("chunk_start") + F.length("bases") - 1).alias("n_bases"))
+        return coverage(reads, ("contig",), self._setting("filterFlag", FILTER_FLAG), self._setting("minMapQual", 0), lengths)
 
     def pileup(self, source: DataFrame | str, reference: str | None = None, quals: bool = True, sample: str | None = None, bin_size: int = 1) -> DataFrame:
         return pileup(self.reads(source, sample), self.reference(reference), quals, self._setting("filterFlag", FILTER_FLAG), self._setting("minMapQual", 0), bin_size, self._setting("maxBaseQuality", MAX_QUALITY))
 
-    def _call(self, m: re.Match) -> str:
-        name, given = m.group(1).lower(), [a.strip("'\"") for a in _LITERAL.findall(m.group(2))]
-        if name == "coverage" and len(given) == 3:
-            df = self.coverage(given[0], given[2], given[1])
-        elif name == "pileup" and 3 <= len(given) <= 6:
-            on = [a.lower() == "true" for a in given[3:5]]
-            quals = len(on) > 1 and on[1]
-            df = self.pileup(given[0], given[2], quals, given[1], int(given[5]) if len(given) > 5 else 1)
-            keep = ["contig", "pos_start", "pos_end", "ref", "coverage", "countRef", "countNonRef", *(["alts"] if not on or on[0] else []), *(["quals"] if quals else [])]
-            df = df.select(*keep)
-        else:
-            return m.group()
-        self._views += 1
-        df.createOrReplaceTempView(view := f"_spanlake_{name}_{self._views}")
-        return view
+    def _call(self, name: str, text: str) -> DataFrame:
+        given = [a.strip("'\"") for a in _LITERAL.findall(text)]
+        if name == "coverage":
+            if len(given) not in (3, 4):
+                raise ValueError(f"coverage takes a table, a sample, a reference and perhaps 'blocks', 'bases' or the length of windows; {len(given)} arguments given")
+            blocks, form = self.coverage(given[0], given[2], given[1]), given[3].lower() if len(given) > 3 else "blocks"
+            if form in ("blocks", "bases"):
+                return blocks if form == "blocks" else per_base(blocks)
+            return windows(blocks, int(form))
+        if not 3 <= len(given) <= 6:
+            raise ValueError(f"pileup takes a table, a sample, a reference and perhaps alts, quals and the size of bins; {len(given)} arguments given")
+        on = [a.lower() == "true" for a in given[3:5]]
+        quals = len(on) > 1 and on[1]
+        df = self.pileup(given[0], given[2], quals, given[1], int(given[5]) if len(given) > 5 else 1)
+        return df.select("contig", "pos_start", "pos_end", "ref", "coverage", "countRef", "countNonRef", *(["alts"] if not on or on[0] else []), *(["quals"] if quals else []))
 
     def sql(self, query: str) -> DataFrame:
-        """``spark.sql`` that knows ``coverage(table, sample, reference)`` and ``pileup(table, sample, reference[, alts[, quals[, bin]]])``."""
-        return self.spark.sql(re.sub(r"(?i)((?:\bFROM|\bJOIN|,)\s*)" + _CALL.pattern, lambda m: m.group(1) + self._call(_CALL.search(m.group())), query))
+        """``spark.sql`` that also knows the table functions ``coverage(table, sample, reference[, form])`` and
+        ``pileup(table, sample, reference[, alts[, quals[, bin]]])``, and plans overlap joins on bins (``operators.sqljoin``).
+
+        ``form`` is ``blocks``, ``bases`` or the length of windows. Literals, quoted names and comments are left as they
+        are. An empty reference means none. But for the lengths that an overlap join has (two columns of each side), nothing
+        runs before the result is asked for.
+        """
+        views: list[str] = []
+
+        def put(m: re.Match) -> str:
+            if m.group("skipped") is not None:
+                return m.group()
+            views.append(f"_spanlake_{uuid.uuid4().hex}")
+            self._call(m.group("name").lower(), m.group("given")).createOrReplaceTempView(views[-1])
+            return m.group("before") + views[-1]
+
+        try:
+            df = self.spark.sql(_CALL.sub(put, query))
+        finally:
+            for v in views:  # the result holds their plans
+                self.spark.catalog.dropTempView(v)
+        if self.spark.conf.get("spanlake.rangeJoin", "true").lower() not in _TRUE:
+            return df
+        return planned(df, self._setting("minOverlap", 1), self._setting("maxGap", 0), self.spark.conf.get("spanlake.useJoinOrder", "false").lower() in _TRUE)

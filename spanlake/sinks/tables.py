@@ -13,8 +13,8 @@ def write_pileup(df: DataFrame, path: str, single_file: bool = False) -> None:
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("delimiter", "|").csv(path)
 
 
-def write_report(df: DataFrame, path: str, order: list[str], single_file: bool = True) -> None:
-    """Tab-separated with a header, in order. A report is a few rows for each target; sorted parts otherwise."""
+def write_report(df: DataFrame, path: str, order: list[str], single_file: bool = False) -> None:
+    """Tab-separated with a header, in order over the sorted parts; one file only where the caller knows it to be small."""
     out = df.orderBy(*order)
     (out.coalesce(1) if single_file else out).write.mode("overwrite").option("header", "true").option("delimiter", "\t").csv(path)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
 from spanlake.sources.bam import blocks, header
-from spanlake.sources.files import Piece, created, exists, opened
+from spanlake.sources.files import Piece, created, exists, listed, opened
 
 #: (first bin, positions of a bin as a power of two) of the index's six levels.
 LEVELS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14))
@@ -116,3 +119,15 @@ def write_index(path: str) -> str:
     with created(path + ".bai") as f:
         f.write(out)
     return path + ".bai"
+
+
+def write_indexes(spark: SparkSession, folder: str) -> list[str]:
+    """Indexes all files of a folder, each in a task of its own."""
+    paths = listed(folder, (".bam",))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array([write_index(p) for p in b.column("path").to_pylist()], pa.string())], names=["path"])
+
+    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return sorted(r.path for r in files.mapInArrow(run, "path string").collect())

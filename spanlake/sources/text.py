@@ -40,11 +40,13 @@ def vcf(spark: SparkSession, path: str, split_alleles: bool = False) -> DataFram
     dot = lambda c: F.when(c != ".", c)
     many = lambda c, sep: F.when(c.isNull() | (c == "."), F.array().cast("array<string>")).otherwise(F.split(c, sep))
     pair = lambda x: F.struct(F.get(F.split(x, "="), 0).alias("key"), F.get(F.split(x, "=", 2), 1).alias("value"))
+    # a key that is repeated counts once, as it comes first
+    first_of = lambda pairs: F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["key"]), x["key"]) == i + 1)
     keys = F.split(at(8), ":")
     own = F.transform(F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))), lambda s: F.map_from_entries(F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(F.split(s, ":"), i).alias("value"))), lambda e: e["value"].isNotNull())))
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(
         plain_contig(at(0)).alias("contig"), (at(1).try_cast("int") - 1).alias("pos_start"), F.length(at(3)).alias("_n"), many(at(2), ";").alias("names"), at(3).alias("ref"), many(at(4), ",").alias("alt"),
-        dot(at(5)).try_cast("double").alias("qual"), many(at(6), ";").alias("filters"), F.map_from_entries(F.array_distinct(F.transform(many(at(7), ";"), pair))).alias("info"),
+        dot(at(5)).try_cast("double").alias("qual"), many(at(6), ";").alias("filters"), F.map_from_entries(first_of(F.transform(many(at(7), ";"), pair))).alias("info"),
         F.when(F.size(f) > 9, own).alias("genotypes"),
     )
     end = F.coalesce(F.try_element_at("info", F.lit("END")).try_cast("int"), F.col("pos_start") + F.col("_n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from urllib.parse import unquote
 
 import pyarrow.parquet as pq
@@ -30,18 +31,28 @@ def dealt(df: DataFrame) -> DataFrame:
     return df if groups >= cores else df.repartition(cores)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, written to the shared folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) gets one
-    here; on a cluster a folder of one machine would lose what the others wrote, so there it is an error.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-            folder = tempfile.mkdtemp(prefix="spanlake-")
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a local session (tests, a laptop) gets a folder of its own;
+    on a cluster a folder of one machine would lose what the others wrote, so there it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = tempfile.mkdtemp(prefix="spanlake-")
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path for files of a query, in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, written to the shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

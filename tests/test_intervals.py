@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,13 +94,15 @@ def test_functions(spark):
     df = spark.createDataFrame([(11873, 14409)], "s int, e int")
     for column, sql, want in GOLDEN:
         assert tuple(df.select(column().alias("x")).first().x) == want
-        assert tuple(df.selectExpr(f"{sql} AS x").first().x) == want
+        if not sql.startswith("reflect"):
+            assert tuple(df.selectExpr(f"{sql} AS x").first().x) == want
         assert tuple(df.selectExpr(f"my_{sql} AS x").first().x) == want
     assert df.selectExpr("overlaplength(s, e, 14000, 15000) AS n", "overlap(1, 2, 5, 6) AS m").first() == (410, -2)
     assert df.select(ranges.overlap_length("s", "e", 14000, 15000)).first()[0] == 410
     with pytest.raises(Exception, match="negative"):
         df.select(ranges.promoters("s", "e", -1, 2)).collect()
     assert spark.sql("SELECT * FROM my_grange('1', 5, 9)").first() == ("1", 5, 9)
+    assert len(spark.sql("SELECT reflect('java.util.UUID', 'randomUUID')").first()[0]) == 36
 
 
 def test_join_order_broadcasts_the_right_side(spark, tmp_path):
@@ -116,3 +119,34 @@ def test_join_order_broadcasts_the_right_side(spark, tmp_path):
         assert rows(QUERIES["iv_join_order"](spark, str(tmp_path))) == rows(QUERIES["iv_overlap_join"](spark, str(tmp_path))) == [("1", 6, 14, "b", 1, 5)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_joins_in_sql(spark):
+    """Overlap joins in plain SQL, in every spelling, against Spark's own plan; none is a nested loop."""
+    from spanlake.session import Session
+
+    rng = random.Random(6)
+    for name in ("sj_a", "sj_b"):
+        own = [(rng.choice(["1", "2", None]), s := rng.choice([None, rng.randint(-50, 3000)]), None if s is None else s + rng.choice([-30, 0, 4, 90, 2000]), i) for i in range(150)]
+        spark.createDataFrame(own, "c string, s int, e long, i int").createOrReplaceTempView(name)
+    conditions = [
+        "a.e >= b.s AND a.s <= b.e", "b.s <= a.e AND b.e >= a.s AND a.c = b.c", "a.e > b.s AND a.s < b.e AND a.i <> b.i", "a.s >= b.s AND a.e <= b.e", "CAST(a.e AS INT) >= b.s AND b.c = a.c AND CAST(a.s AS BIGINT) <= b.e AND a.i % 2 = b.i % 3",
+    ]
+    ours = Session(spark)
+    for c in conditions:
+        q = f"SELECT a.c, a.s, a.e, a.i, b.*, 'FROM coverage(x, y, z)' AS said FROM sj_a a JOIN sj_b b ON {c} -- FROM pileup(a)"
+        df = ours.sql(q)
+        assert Counter(map(tuple, df.collect())) == Counter(map(tuple, spark.sql(q).collect())), c
+        assert "NestedLoop" not in (p := df._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in p and "_bin1" in p
+    q = "SELECT count(*) AS n FROM sj_a a, sj_b b, sj_b d WHERE a.c = b.c AND a.e >= b.s AND a.s <= b.e AND d.e >= a.s AND d.s <= a.e"
+    assert ours.sql(q).first() == spark.sql(q).first()
+    for setting, value, c in (("maxGap", "100", "a.c = b.c AND a.e + 100 >= b.s AND a.s - 100 <= b.e"), ("minOverlap", "10", "a.c = b.c AND a.e >= b.s AND a.s <= b.e AND least(a.e, b.e) - greatest(a.s, b.s) + 1 >= 10")):
+        spark.conf.set(f"spanlake.{setting}", value)
+        try:
+            got = ours.sql("SELECT a.i, b.i AS j FROM sj_a a JOIN sj_b b ON a.c = b.c AND a.e >= b.s AND a.s <= b.e")
+            assert Counter(map(tuple, got.collect())) == Counter(map(tuple, spark.sql(f"SELECT a.i, b.i AS j FROM sj_a a JOIN sj_b b ON {c}").collect()))
+        finally:
+            spark.conf.unset(f"spanlake.{setting}")
+    assert ours.sql("SELECT 'taken FROM coverage(reads, S, ref)' AS x").first().x == "taken FROM coverage(reads, S, ref)"
+    with pytest.raises(ValueError, match="arguments"):
+        ours.sql("SELECT * FROM coverage('a', 'b')")
