@@ -59,7 +59,8 @@ def _batch_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held = key[order][first]
         total = np.add.reduceat(d[order], first) if len(first) else first
         n = np.diff(np.append(first, len(key)))
-        refs = np.concatenate([np.zeros(2 * n_ends, np.int64), ref])[order][first]
+        refs = np.concatenate([np.zeros(2 * n_ends, np.int64), ref.astype(np.int64)])[order]
+        refs = np.maximum.reduceat(refs, first) if len(first) else first
         kept = (total != 0) | (held & 0xFF != _DEPTH)
         held, total, n, refs = held[kept], total[kept], n[kept], refs[kept]
         columns = [contig.dictionary.take(pa.array(held >> 40)), pa.array((held >> 8 & 0xFFFFFFFF).astype(np.int32)), pa.array((held & 0xFF).astype(np.int32)), pa.array(total), pa.array(n.astype(np.int64)), pa.array(refs.astype(np.int32))]

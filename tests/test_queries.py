@@ -6,12 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from spanlake.plans import intervals, problems
+from spanlake.plans import intervals, problems, surface
 from tools.compare import cell
 
 DATA = Path("/root/testdata/sf0.001")
-SETS = problems.QUERIES | intervals.QUERIES
-SQL = problems.ORACLE | intervals.ORACLE
+SETS = problems.QUERIES | intervals.QUERIES | surface.QUERIES
+SQL = problems.ORACLE | intervals.ORACLE | surface.ORACLE
 
 
 @pytest.fixture(scope="module")
