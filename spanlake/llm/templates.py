@@ -7,8 +7,9 @@ Two detectors look at each text, whole:
   their first ``DEPTH`` tokens, folded (below) and with numbers and ids masked. The verdict of such a beginning, the
   listed messages that can begin so, is worked out once in a worker and kept; where there is one, the rest of the
   record (over the following lines) is checked against the message. A message that other columns cut is followed over
-  the ends of its lines and cells to the end of the text, and phrases that only such messages have are looked for
-  anywhere. Filler is found as a run of filler words, or a sentence that stands three times in succession. A notice in
+  the ends of its lines and cells to the end of the text, and a few phrases of machines' own words are
+  looked for anywhere; what a sentence of a paper can say (a connection failed, a request was refused) counts only at
+  a record's beginning. Filler is found as a run of filler words, or a sentence that stands three times in succession. A notice in
   a wording that no list has isn't found.
 * *Slots.* Unresolved fields inside ordinary records, by their delimiters or by what stands between soft brackets, and the
   bare values that are printed where a field couldn't be filled.
@@ -60,14 +61,12 @@ PREDICATES = (
 #: Titles of error pages, as lines of their own.
 TITLES = ("Not Found", "Bad Request", "Too Many Requests", "Service Unavailable", "Internal Server Error", "Bad Gateway", "Gateway Timeout", "Unauthorized")
 CODED_TITLES = (*TITLES, "Forbidden", "Gone")
-#: Phrases that no paper prints.
+#: Words of machines, which no sentence of a paper has: they show a message whose beginning the scan has spoilt.
 PHRASES = (
-    "not found on this server", "image server", "zoomable page", "page viewer", "browser settings", "in your browser", "serverfehler", "page introuvable", "momentanement indisponible",
-    "servidor no pudo", "completar la solicitud", "pagina no encontrada", "undefined index", "exception in module", "connection failed", "exit status", "invalid response", "text layer",
-    "failed to respond", "went wrong while", "retries left", "contact the administrator", "the search results", "try reloading", "return to the start page", "session has expired", "log in again",
-    "down for maintenance", "image file missing", "cannot be displayed", "do not have permission to view", "request for this", "scripts are blocked", "allow scripts", "javascript", "noscript",
+    "not found on this server", "image server", "zoomable page", "page viewer", "serverfehler", "page introuvable", "momentanement indisponible", "servidor no pudo", "completar la solicitud", "pagina no encontrada",
+    "undefined index", "exception in module", "retries left", "try reloading", "down for maintenance", "image file missing", "scripts are blocked", "allow scripts", "javascript", "noscript",
     "scripts soient", "habilitar los scripts", "aktivieren sie scripting", "aktivieren sie scripts", "activer scripting", "activer scripts", "active scripting", "active scripts", "enable scripting",
-    "enable scripts", "requires scripting", "requires scripts", "scripting must be", "scripts must be", "gateway timeout", "too many requests", "internal server error", "blind text",
+    "enable scripts", "requires scripting", "requires scripts", "scripting must be", "scripts must be", "gateway timeout", "internal server error", "blind text",
 )
 FILLER = (
     "lorem ipsum dolor amet tempor semper rutra velit mollis vestra ridet lectum vivam etiam quasi felis tellus purus magna porta orna cursor donec nunc nullam gravis sapien sit consectetur adipiscing elit sed",

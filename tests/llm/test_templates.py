@@ -8,6 +8,7 @@ CONTENT = [
     "The figure {see plate} was engraved.", "<< See last column >>", "*** The editor is not bound\nto return copy ***", "[From our own correspondent]", "[Advt.]", "[To be continued in our next]", "!!!???;;;---===", "<|endoftext|>", "Prices fell 5% and then 10%; the shares stood at $4 and\n$7",
     "The magistrate said that access was denied to no honest man.", "The word servants is forbidden on the notice, said the\ninspector, who filled in", "The gateway was blocked for some time and carts", "The printer set dummy copies of the ballot, which were burned.",
     "Owing to an error in the service of the ferry, the boat was unavailable for 503 passengers.", "Subscribers @ 6d. the quarter, # 14 Mill Lane.", "The prompter held that a new script is required before the play", "La page du registre était\nintrouvable.", "Die Seite des Buches wurde nicht gefunden, und der Fehler blieb.", "Al(lerman pri(e Publi( &c. 25% off",
+    "The connection failed at noon and the train was late.", "The council went wrong while dealing with the drains.", "The request for this was refused by the mayor.", "An invalid response was given in your browser settings column.",
 ]
 SLOTS = [
     "{{headline}}", "a {town} b", "{{{price}}}", "[[page_no]]", "x ${author} y", "$ISSUE_NO$", "%dateline%", "%%byline%%", "<%= edition %>", "<?= $town ?>", "@@section@@", "__caption__", "[%price%]", "{% town %}", "{!issue.number!}", "[{caption}]", "<<byline>>", "&issue_date;", "#{subhead}", "%(author)s",
