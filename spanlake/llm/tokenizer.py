@@ -6,6 +6,9 @@ pair of least rank (leftmost first; where the same pair occurs again in the word
 steps would do, as a new token's own merges all have higher ranks), and a word leaves the recursion when no pair of it
 can be merged. Decoding joins token positions with the vocabulary and aggregates the bytes in order.
 
+A word of ``LONG_WORD`` bytes or more (rows of one letter, scans of rules) doesn't go through the query, which keeps every
+step of every word: its pairs wait in a heap. The ids are the same.
+
 Nothing is shuffled: each task reads its texts and returns their ids. What a worker keeps is bounded by parameters.
 """
 
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain, islice
 from pathlib import Path
 
@@ -27,6 +31,9 @@ VOCABULARY = "byte_bpe_50k.json"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that one recursive query encodes, their bytes, and words that a worker remembers.
 QUERY_WORDS, QUERY_BYTES, KEPT_WORDS = 30_000, 400_000, 300_000
+#: Bytes of a word from which it is merged by itself: the recursive query keeps every step of a word, so its cost grows
+#: with the square of the length.
+LONG_WORD = 600
 #: Texts and characters that are handled at once.
 TEXTS, CHARACTERS = 500, 2_000_000
 
@@ -113,10 +120,17 @@ class Coder:
         self.bytes = np.array([v.byte_ids[b] for b in range(256)], np.int32)
         self.split: Callable[[str], list[str]] = regex.compile(PATTERN).findall
         self.known: dict[str, list[int]] = {}
+        self.ranks: dict[tuple[int, int], tuple[int, int]] | None = None
 
     def learn(self, words: Iterator[str]) -> dict[str, np.ndarray]:
         """The ids of distinct words, by the recursive query over blocks of them."""
-        words = iter(words)
+        short = []
+        for w in words:
+            if len(w) * 4 >= LONG_WORD and len(raw := w.encode("utf-8", "surrogatepass")) >= LONG_WORD:
+                self.known[w] = self.merged([int(self.bytes[b]) for b in raw])
+            else:
+                short.append(w)
+        words = iter(short)
         while block := list(islice(words, QUERY_WORDS)):
             raw = [w.encode("utf-8", "surrogatepass") for w in block]
             at = 0
@@ -136,6 +150,30 @@ class Coder:
                     self.known[block[at + w]] = own
                 at = upto
 
+    def merged(self, ids: list[int]) -> list[int]:
+        """The ids of one long word: pairs wait in a heap by rank and place, neighbours in lists, so it takes n log n steps."""
+        if self.ranks is None:
+            a, b, rank, made = (c.to_pylist() for c in self.con.sql("SELECT a, b, rank, made FROM merges").to_arrow_table().columns)
+            self.ranks = dict(zip(zip(a, b, strict=True), zip(rank, made, strict=True), strict=True))
+        n, ranks = len(ids), self.ranks
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        waiting = [(ranks[p][0], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in ranks]
+        heapify(waiting)
+        while waiting:
+            _, i, pair = heappop(waiting)
+            j = after[i]
+            if j < 0 or (ids[i], ids[j]) != pair:  # one of them is merged already
+                continue
+            ids[i], ids[j] = ranks[pair][1], -1
+            after[i] = k = after[j]
+            after[j] = -1
+            if k >= 0:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right >= 0 and (p := (ids[left], ids[right])) in ranks:
+                    heappush(waiting, (ranks[p][0], left, p))
+        return [x for x in ids if x >= 0]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text."""
         words = [self.split(t) if t else () for t in texts]

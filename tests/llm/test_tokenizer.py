@@ -55,3 +55,21 @@ def test_another_vocabulary():
     texts = [t for t in ODD if t]
     ids, n = Coder(path).encode(texts)
     assert ids.tolist() == [i for t in texts for i in own.encode_ordinary(t)] and len(n) == len(texts)
+
+
+def test_long_words():
+    """A word of any length: the heap gives what the recursive query gives, and a very long one ends soon."""
+    import random
+    import time
+
+    from spanlake.llm import tokenizer
+
+    path = f"{tokenizer.TOKENIZERS}/{tokenizer.VOCABULARY}"
+    rng = random.Random(3)
+    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, 140))) for a in ("etaoin", "ab", "aaab", "thequickbrown", "éß漢") for _ in range(12)]
+    c = tokenizer.Coder(path)
+    c.learn(iter(words))
+    assert [c.merged([int(c.bytes[b]) for b in w.encode()]) for w in words] == [c.known[w] for w in words]
+    began = time.time()
+    ids, _ = c.encode(["a" * 300_000 + " " + "etaoin" * 50_000])
+    assert time.time() - began < 60 and c.decode(tokenizer.pa.array([ids.tolist()], tokenizer.pa.list_(tokenizer.pa.int32()))) == ["a" * 300_000 + " " + "etaoin" * 50_000]
