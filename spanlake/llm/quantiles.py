@@ -12,10 +12,12 @@ merged level by level, with the same bound for the whole.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,8 @@ class _Level:
 
 
 class Sketch:
-    def __init__(self, k: int = K, tail: str = "high"):
-        self.k, self.high, self.n = k, tail == "high", 0
+    def __init__(self, k: int = K, tail: str = "high", salt: int = 0):
+        self.k, self.high, self.n, self.salt = k, tail == "high", 0, salt
         self.low, self.top = np.inf, -np.inf
         self.levels: list[_Level] = []
 
@@ -100,8 +102,9 @@ class Sketch:
         kept += (len(values) - kept) % 2
         away, stay = (values[: len(values) - kept], values[len(values) - kept :]) if self.high else (values[kept:], values[:kept])
         level.values, level.held = [stay], len(stay)
-        # the coin comes from the content: a task that runs again throws the same
-        coin = hash((float(away[0]), float(away[-1]), len(away), h, level.state)) >> 7 & 1
+        # the coin comes from the content and the salt, which says which partition and group: a task that runs again throws
+        # the same, while equal rows of other partitions or days throw others, so that their errors don't add up
+        coin = hash((self.salt, float(away[0]), float(away[-1]), len(away), h, level.state)) >> 7 & 1
         self._level(h + 1).add(away[coin::2])
         level.state += 1
         if level.state >= 1 << (level.sections - 1) and level.k > 8:
@@ -139,6 +142,7 @@ class Sketch:
 def _build(keys: list[str], k: int, tail: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Sketch] = {}
+        partition = getattr(TaskContext.get(), "partitionId", int)()
 
         def out() -> pa.RecordBatch:
             columns = [pa.array([key[i] for key in held], pa.string()) for i in range(len(keys))]
@@ -157,7 +161,7 @@ def _build(keys: list[str], k: int, tail: str):
             names = zip(*(b.column(c).take(pa.array(order[at])).to_pylist() for c in keys), strict=True)
             for name, own in zip(names, np.split(value[order], at[1:]), strict=True):
                 if name not in held:
-                    held[name] = Sketch(k, tail)
+                    held[name] = Sketch(k, tail, zlib.crc32(repr((partition, name)).encode()))
                 held[name].update(own)
             if len(held) > GROUPS:
                 yield out()
