@@ -106,11 +106,12 @@ def windows(blocks: DataFrame, size: int, by: tuple[str, ...] = ("contig",)) ->
     )
 
 
-def target_depth(blocks: DataFrame, targets: DataFrame, name: str = "name") -> DataFrame:
-    """``contig``, the target's ``name``, and covered bases, least, mean and greatest depth over its covered bases."""
+def target_depth(blocks: DataFrame, targets: DataFrame, name: str = "name", above: float | None = None) -> DataFrame:
+    """``contig``, the target's ``name``, and covered bases, least, mean and greatest depth over its covered bases; with ``above`` only targets of a greater mean depth."""
     t = targets.select("contig", F.col("pos_start").alias("_ts"), F.col("pos_end").alias("_te"), F.col(name).alias("name"))
     j = interval_join(blocks.select("contig", "pos_start", "pos_end", "coverage"), t, right_span=("_ts", "_te"), measured=("right",))
     n = (F.least("pos_end", "_te") - F.greatest("pos_start", "_ts") + 1).cast("bigint")
-    return j.groupBy("contig", "name", "_ts", "_te").agg(
+    out = j.groupBy("contig", "name", "_ts", "_te").agg(
         F.sum(n).alias("n_bases"), F.min("coverage").alias("min_depth"), (F.sum(n * F.col("coverage")) / F.sum(n)).alias("mean_depth"), F.max("coverage").alias("max_depth")
     ).select("contig", "name", F.col("_ts").alias("pos_start"), F.col("_te").alias("pos_end"), "n_bases", "min_depth", "mean_depth", "max_depth")
+    return out if above is None else out.where(F.col("mean_depth") > above)

@@ -236,9 +236,9 @@ def cov_spliced(spark, d):
 
 
 @_add("cov_target_stats", f"""{_BLOCKS}, t AS ({TARGETS}), j AS (SELECT t.*, coverage, least(b.pos_end, t.pos_end) - greatest(b.pos_start, t.pos_start) + 1 AS n FROM blocks b JOIN t ON b.contig = t.contig AND b.pos_end >= t.pos_start AND b.pos_start <= t.pos_end)
-  SELECT contig, name, pos_start, pos_end, CAST(sum(n) AS BIGINT) AS n_bases, min(coverage) AS min_depth, CAST(sum(n * coverage) AS DOUBLE) / sum(n) AS mean_depth, max(coverage) AS max_depth FROM j GROUP BY ALL HAVING avg(coverage) > 0""")
+  SELECT contig, name, pos_start, pos_end, CAST(sum(n) AS BIGINT) AS n_bases, min(coverage) AS min_depth, CAST(sum(n * coverage) AS DOUBLE) / sum(n) AS mean_depth, max(coverage) AS max_depth FROM j GROUP BY ALL HAVING CAST(sum(n * coverage) AS DOUBLE) / sum(n) > 20""")
 def cov_target_stats(spark, d):
-    return cov.target_depth(cov_blocks(spark, d), targets(spark, d).distinct())
+    return cov.target_depth(cov_blocks(spark, d), targets(spark, d).distinct(), above=20)
 
 
 # pileup: each read has one mismatch, C in the reference, at its place n (within the read) ---------------------------

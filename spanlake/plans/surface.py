@@ -238,6 +238,20 @@ def sql_ctas_by_sample(spark, d):
     return spark.read.parquet(folder)
 
 
+@_add("src_table_paths", f"SELECT DISTINCT sample_id, true AS own, true AS located FROM ({READS})")
+def src_table_paths(spark, d):
+    """The samples of a table by its files, and that its folder is the declared one."""
+    save_by_sample(reads(spark, d).select("contig", "pos_start", "sample_id"), folder := scratch(spark, "paths"))
+    session, name = Session(spark), "spanlake_paths"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} (contig STRING, pos_start INT, sample_id STRING) USING parquet PARTITIONED BY (sample_id) LOCATION '{folder}'")
+    spark.sql(f"MSCK REPAIR TABLE {name}")
+    located = session.location(name).replace("file:", "").rstrip("/") == folder.replace("file:", "").rstrip("/")
+    found = [(s, bool(own := session.files(name, s)) and all(f"sample_id={s}" in f for f in own), located) for s in session.samples(name)]
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(found, "sample_id string, own boolean, located boolean")
+
+
 # functions ---------------------------------------------------------------------------------------------------------
 
 
@@ -332,6 +346,25 @@ for _name, _condition in (("sql_overlap_join", f"r.contig = t.contig AND {_T}"),
     _select = "SELECT t.contig AS t_contig, t.pos_start AS t_start, t.pos_end AS t_end, name, count(*) AS n, " + _SHARED
     _group = "GROUP BY t.contig, t.pos_start, t.pos_end, name"
     _add(_name, f"{_R} {_select} FROM r JOIN t ON {_condition} {_group}")(_sql(f"{_select} FROM spanlake_r r JOIN spanlake_t t ON {_condition} {_group}", _VIEWS))
+
+
+def _with(setting: str, value: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, d):
+        spark.conf.set(f"spanlake.{setting}", value)
+        try:
+            return _sql(query, _VIEWS)(spark, d)
+        finally:
+            spark.conf.unset(f"spanlake.{setting}")
+
+    return run
+
+
+for _name, _setting, _value, _condition in (
+    ("sql_min_overlap", "minOverlap", "10", f"{_T} AND least(r.pos_end, t.pos_end) - greatest(r.pos_start, t.pos_start) + 1 >= 10"),
+    ("sql_max_gap", "maxGap", "20", "r.pos_end + 20 >= t.pos_start AND r.pos_start - 20 <= t.pos_end"),
+    ("sql_join_order", "useJoinOrder", "true", _T),
+):
+    _add(_name, f"{_R} {_select} FROM r JOIN t ON r.contig = t.contig AND {_condition} {_group}")(_with(_setting, _value, f"{_select} FROM spanlake_r r JOIN spanlake_t t ON r.contig = t.contig AND {_T} {_group}"))
 _add("sql_grange", f"{_R} SELECT r.* FROM r WHERE r.contig = '1' AND r.pos_end >= 101 AND r.pos_start <= 140")(_sql("SELECT r.* FROM spanlake_r r JOIN bdg_grange('1', 101, 140) AS g(c, s, e) ON r.contig = g.c AND r.pos_end >= g.s AND r.pos_start <= g.e", _VIEWS))
 _add("sql_range", "SELECT range AS id FROM range(10) UNION ALL SELECT range FROM range(3, 9, 2)")(_sql("SELECT id FROM range(10) UNION ALL SELECT x FROM range(3, 9, 2) AS t(x)", {}))
 for _name, _form, _query in (

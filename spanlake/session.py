@@ -24,6 +24,7 @@ from spanlake.operators.coverage import FILTER_FLAG, coverage, per_base, windows
 from spanlake.operators.pileup import MAX_QUALITY, pileup
 from spanlake.operators.sqljoin import planned
 from spanlake.sources.bam import samples as bam_samples
+from spanlake.sources.files import listed, sample_of
 
 #: SQL functions are registered bare and under the prefix that existing queries use.
 PREFIXES = ("", "bdg_")
@@ -61,6 +62,19 @@ class Session:
             return bam_samples(source)
         return sorted(r[0] for r in self.reads(source).select("sample_id").distinct().collect() if r[0] is not None)
 
+    def files(self, source: DataFrame | str, sample: str | None = None) -> list[str]:
+        """The files of a path of BAM files, or of a table or DataFrame that is read from files; of one sample only, if given."""
+        if isinstance(source, str) and (source.endswith(".bam") or "/" in source):
+            found = listed(source, (".bam",))
+        else:
+            found = sorted(self.reads(source).inputFiles())
+        return [f for f in found if sample is None or sample_of(f) == sample or f"/sample_id={sample}/" in f]
+
+    def location(self, table: str) -> str | None:
+        """The folder of a table in the catalog, as it was declared; null for a view."""
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {table}").collect()
+        return next((r.data_type for r in rows if r.col_name == "Location"), None)
+
     def reference(self, path: str | None) -> DataFrame | None:
         return None if not path else self.spark.read.format("fasta").load(path)
 
