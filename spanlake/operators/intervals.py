@@ -145,6 +145,25 @@ def interval_join(
     return gathered.where(F.col("_hit").isNull()).select("_whole.*").unionByName(left.where(~F.coalesce(s1 <= e1, F.lit(False))))
 
 
+def _counted(intervals: DataFrame, targets: DataFrame, max_gap: int) -> DataFrame:
+    """The distinct rows of ``targets`` that aren't inverted, with ``_m``, how often each comes, and ``_n``, the intervals that it overlaps."""
+    columns = targets.columns
+    s, e = (F.col(c).cast("bigint") for c in SPAN)
+    point = lambda p, a, b: F.struct(p.alias("p"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
+    points = intervals.where(F.col("contig").isNotNull() & (s <= e)).select("contig", F.explode(F.array(point(s, 1, 0), point(e, 0, 1))).alias("_x")).groupBy("contig", F.col("_x.p").alias("p")).agg(F.sum("_x.a").alias("a"), F.sum("_x.b").alias("b"))
+    asked = F.explode(F.array(F.struct((e + max_gap).alias("p"), F.lit(1).alias("sign")), F.struct((s - max_gap - 1).alias("p"), F.lit(-1).alias("sign"))))
+    asked = targets.where(F.col("contig").isNotNull() & (s <= e)).groupBy(*columns).agg(F.count(F.lit(1)).alias("_m")).select("contig", F.struct(*columns, "_m").alias("_whole"), asked.alias("_x"))
+    asked = asked.select("contig", F.col("_x.p").alias("p"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("_x.sign").alias("_sign"), "_whole")
+    rows = points.select("contig", "p", "a", "b").unionByName(asked, allowMissingColumns=True)
+    # never null, so that both uses of the points are the same and share one shuffle
+    rows = rows.withColumn("_tile", F.shiftright(F.coalesce("p", F.lit(0).cast("bigint")), TILE_BITS))
+    order = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tiles = rows.groupBy("contig", "_tile").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("contig", "_tile", F.coalesce(F.sum("a").over(order), F.lit(0)).alias("_a"), F.coalesce(F.sum("b").over(order), F.lit(0)).alias("_b"))
+    w = Window.partitionBy("contig", "_tile").orderBy("p")
+    seen = rows.join(tiles, ["contig", "_tile"]).withColumns({"_a": F.col("_a") + F.sum("a").over(w), "_b": F.col("_b") + F.sum("b").over(w)}).where(F.col("_sign").isNotNull())
+    return seen.groupBy("_whole").agg(F.sum(F.when(F.col("_sign") > 0, F.col("_a")).otherwise(-F.col("_b"))).alias("_n")).select("_whole.*", "_n")
+
+
 def overlap_counts(intervals: DataFrame, targets: DataFrame, max_gap: int = 0, name: str = "n") -> DataFrame:
     """``targets`` with the number (bigint) of ``intervals`` of the same ``contig`` that overlap each, or lie at most ``max_gap`` apart.
 
@@ -152,25 +171,9 @@ def overlap_counts(intervals: DataFrame, targets: DataFrame, max_gap: int = 0, n
     tiles of 65,536 positions and over the tiles' sums. Intervals with a null or inverted are left out; a target with a
     null contig or bound, or an inverted one, counts 0. Repeated targets come out repeated.
     """
-    columns = targets.columns
-    s, e = (F.col(c).cast("bigint") for c in SPAN)
-    ends = F.array(F.struct(s.alias("p"), F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(e.alias("p"), F.lit(0).alias("a"), F.lit(1).alias("b")))
-    points = intervals.where(F.col("contig").isNotNull() & (s <= e)).select("contig", F.explode(ends).alias("_x")).groupBy("contig", F.col("_x.p").alias("p")).agg(F.sum("_x.a").alias("a"), F.sum("_x.b").alias("b"))
-    counted = targets.groupBy(*columns).agg(F.count(F.lit(1)).alias("_m"))
-    whole = F.struct(*columns, "_m")
-    good = F.col("contig").isNotNull() & (s <= e)
-    asked = F.array(F.struct((e + max_gap).alias("p"), F.lit(1).alias("sign")), F.struct((s - max_gap - 1).alias("p"), F.lit(-1).alias("sign")))
-    asked = counted.where(good).select("contig", whole.alias("_whole"), F.explode(asked).alias("_x")).select("contig", F.col("_x.p").alias("p"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("_x.sign").alias("_sign"), "_whole")
-    nothing = F.lit(None)
-    rows = points.select("contig", "p", "a", "b", nothing.cast("int").alias("_sign"), nothing.cast(asked.schema["_whole"].dataType).alias("_whole")).unionByName(asked)
-    rows = rows.withColumn("_tile", F.shiftright("p", TILE_BITS))
-    order = Window.partitionBy("contig").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
-    tiles = rows.groupBy("contig", "_tile").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("contig", "_tile", F.coalesce(F.sum("a").over(order), F.lit(0)).alias("_a"), F.coalesce(F.sum("b").over(order), F.lit(0)).alias("_b"))
-    w = Window.partitionBy("contig", "_tile").orderBy("p")
-    seen = rows.join(tiles, ["contig", "_tile"]).withColumns({"_a": F.col("_a") + F.sum("a").over(w), "_b": F.col("_b") + F.sum("b").over(w)}).where(F.col("_sign").isNotNull())
-    n = seen.groupBy("_whole").agg(F.sum(F.when(F.col("_sign") > 0, F.col("_a")).otherwise(-F.col("_b"))).alias("_n")).select("_whole.*", "_n")
-    n = n.unionByName(counted.where(~F.coalesce(good, F.lit(False))).withColumn("_n", F.lit(0).cast("bigint")))
-    return n.select(*columns, "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m")))).select(*columns, F.col("_n").alias(name))
+    each = _counted(intervals, targets, max_gap).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_m"))))
+    good = F.col("contig").isNotNull() & (F.col(SPAN[0]) <= F.col(SPAN[1]))
+    return each.select(*targets.columns, F.col("_n").alias(name)).unionByName(targets.where(~F.coalesce(good, F.lit(False))).withColumn(name, F.lit(0).cast("bigint")))
 
 
 def feature_counts(reads: DataFrame, targets: DataFrame, by: tuple[str, ...] = (), max_gap: int = 0, **options) -> DataFrame:
@@ -181,8 +184,8 @@ def feature_counts(reads: DataFrame, targets: DataFrame, by: tuple[str, ...] = (
     """
     length = (F.col("pos_end") - F.col("pos_start") + 1).cast("int")
     if not by and not options:
-        counted = overlap_counts(reads, targets, max_gap, "n_reads").where("n_reads > 0")
-        return counted.groupBy(*targets.columns).agg(F.sum("n_reads").alias("n_reads")).withColumn("length", length)
+        counted = _counted(reads, targets, max_gap).where("_n > 0")
+        return counted.select(*targets.columns, (F.col("_n") * F.col("_m")).alias("n_reads"), length.alias("length"))
     joined = interval_join(reads.select("contig", *SPAN, *by), targets, suffix="_target", max_gap=max_gap, **options)
     names = _renamed(reads.select("contig", *SPAN, *by), targets, "_target")
     targets_of = [F.col(n).alias(c) for c, n in names.items()]
