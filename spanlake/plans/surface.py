@@ -130,6 +130,18 @@ _add("src_vcf", _VCF_SQL.format("'G,GTT'"))(_vcf(False))
 _add("src_vcf_split", _VCF_SQL.format("unnest(['G', 'GTT'])"))(_vcf(True))
 
 
+@_add("src_vcf_normalized", """SELECT CAST(p_partkey AS VARCHAR) AS contig, CAST(1 AS INTEGER) AS pos_start, CAST(4 AS INTEGER) AS pos_end, 'TCA' AS ref, 'T' AS alt FROM part
+  UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(2 * p_size + 3 AS INTEGER), CAST(2 * p_size + 4 AS INTEGER), 'T', 'G' FROM part""")
+def src_vcf_normalized(spark, d):
+    """Each part is a contig of GT, a run of CA, and TT; one variant takes the last CA of the run away, one is written with more bases than it needs."""
+    register(spark)
+    part = table(spark, d, "part")
+    reference = spark.read.format("fasta").load(_lines(part.selectExpr("concat('>', p_partkey, '\\nGT', repeat('CA', p_size), 'TT') AS value"), spark, "fasta"))
+    head = "concat('chr', p_partkey, '\\t', {0}, '\\t.\\t', {1}, '\\t', {2}, '\\t.\\t.\\t.')"
+    lines = part.selectExpr(f"stack(2, {head.format('2 * p_size', chr(39).join(['if(p_size = 1, ', 'TCA', ', ', 'ACA', ')']), chr(39).join(['if(p_size = 1, ', 'T', ', ', 'A', ')']))}, {head.format('2 * p_size + 1', chr(39) + 'CATT' + chr(39), chr(39) + 'CATG' + chr(39))}) AS value")
+    return text.vcf(spark, _lines(lines, spark, "vcf"), reference=reference).select("contig", "pos_start", "pos_end", "ref", F.col("alt")[0].alias("alt"))
+
+
 @_add("src_adam", f"SELECT contig, pos_start, pos_end, name FROM ({TARGETS})")
 def src_adam(spark, d):
     targets(spark, d).withColumnsRenamed({"contig": "contigName", "pos_start": "start", "pos_end": "end"}).write.parquet(folder := scratch(spark, "adam"))

@@ -16,6 +16,8 @@ _FASTQ = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa
 FASTA = "contig string, chunk_start int, bases string"
 _FASTA = pa.schema([("contig", pa.string()), ("chunk_start", pa.int32()), ("bases", pa.string())])
 CHUNK = 10_000
+#: Bases of an indexed contig that one task reads.
+SPLIT_BASES = 32_000_000
 
 
 def _number(s: str) -> int | None:
@@ -101,26 +103,30 @@ class FastqSource(DataSource):
         return FastqReader(schema, dict(self.options))
 
 
-class _Contig(Piece):
-    """One contig of an indexed file: its name, length, and bases and bytes of a line."""
+class _Stretch(Piece):
+    """Bases ``first`` to ``last`` (from 1) of one contig of an indexed file, and the byte of the first."""
 
-    def __init__(self, path: str, name: str, length: int, offset: int, bases: int, width: int):
-        super().__init__(path, offset, offset + (length // max(bases, 1) + 1) * width)
-        self.name, self.length, self.bases, self.width = name, length, bases, width
+    def __init__(self, path: str, name: str, first: int, last: int, offset: int):
+        super().__init__(path, offset, offset)
+        self.name, self.first, self.last = name, first, last
 
 
 class FastaReader(DataSourceReader):
-    """With an index beside it (``.fai``), each contig is a task; without, each file."""
+    """With an index beside it (``.fai``), a contig is cut into tasks of ``splitBases`` bases; without, each file is a task."""
 
     def __init__(self, options: dict[str, str]):
         self.options = options
 
     def partitions(self) -> list[Piece]:
         out: list[Piece] = []
+        size = max(1, int(self.options.get("splitBases", SPLIT_BASES)) // CHUNK) * CHUNK
         for p in listed(self.options["path"], (".fasta", ".fa")):
             if exists(p + ".fai"):
                 with opened(p + ".fai") as f:
-                    out += [_Contig(p, c[0], *map(int, c[1:5])) for c in (line.rstrip("\n").split("\t") for line in f.read().decode().splitlines()) if len(c) >= 5]
+                    rows = [c for c in (line.split("\t") for line in f.read().decode().splitlines()) if len(c) >= 5]
+                for name, length, offset, bases, width in ((c[0], *map(int, c[1:5])) for c in rows):
+                    # every line but the last has the same number of bases, so the byte of any base is known
+                    out += [_Stretch(p, name, at + 1, min(at + size, length), offset + at // bases * width + at % bases) for at in range(0, length, size)]
             else:
                 out.append(Piece(p, 0, size_of(p)))
         return out
@@ -134,9 +140,9 @@ class FastaReader(DataSourceReader):
             return pa.RecordBatch.from_pylist([{"contig": contig, "chunk_start": start, "bases": bases.upper()}], _FASTA)
 
         with io.TextIOWrapper(opened(partition.path), encoding="ascii", newline="") as f:
-            indexed = isinstance(partition, _Contig)
+            indexed = isinstance(partition, _Stretch)
             f.seek(partition.start)
-            contig, held, at, left = bare(partition.name) if indexed else None, "", 1, partition.length if indexed else None
+            contig, held, at, left = (bare(partition.name), "", partition.first, partition.last) if indexed else (None, "", 1, None)
             for line in f:
                 line = line.rstrip("\r\n")
                 if line.startswith(">"):

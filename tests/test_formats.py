@@ -38,6 +38,16 @@ def test_vcf(spark, tmp_path):
     assert text.vcf(spark, str(tmp_path / "a.vcf"), split_alleles=True).count() == 4
 
 
+def test_vcf_left_aligned(spark):
+    """A deletion in a run longer than two chunks of the reference goes to its beginning; what can't move stays."""
+    bases = "GT" + "CA" * 16_000 + "TT"
+    reference = spark.createDataFrame([("1", i + 1, bases[i : i + 10_000]) for i in range(0, len(bases), 10_000)], "contig string, chunk_start int, bases string")
+    rows_in = [("1", 31_999, 32_002, "ACA", ["A"]), ("1", 5, 6, "A", ["<DEL>"]), ("1", 7, 8, "A", []), ("2", 9, 12, "ACA", ["A"]), ("1", 0, 1, "G", ["GG"]), ("1", 3, 40, "A", ["T"])]
+    df = spark.createDataFrame(rows_in, "contig string, pos_start int, pos_end int, ref string, alt array<string>")
+    got = {(r.contig, r.pos_start, r.pos_end, r.ref, *r.alt) for r in text.left_aligned(df, reference).collect()}
+    assert got == {("1", 1, 4, "TCA", "T"), ("1", 5, 6, "A", "<DEL>"), ("1", 7, 8, "A"), ("2", 9, 12, "ACA", "A"), ("1", 0, 1, "G", "GG"), ("1", 3, 40, "A", "T")}
+
+
 def test_fastq(spark, tmp_path):
     register(spark)
     rng = random.Random(0)
@@ -67,9 +77,9 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "r.fa").write_text("".join(f">{n} some\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in contigs.items()))
     want = {"1": contigs["chr1"].upper(), "MT": "ACGT"}
 
-    def whole():
+    def whole(split=1 << 30):
         out = {}
-        for r in spark.read.format("fasta").load(str(tmp_path / "r.fa")).orderBy("contig", "chunk_start").collect():
+        for r in spark.read.format("fasta").option("splitBases", str(split)).load(str(tmp_path / "r.fa")).orderBy("contig", "chunk_start").collect():
             assert r.chunk_start == len(out.get(r.contig, "")) + 1
             out[r.contig] = out.get(r.contig, "") + r.bases
         return out
@@ -78,7 +88,7 @@ def test_fasta(spark, tmp_path):
     at = len(">chr1 some\n")
     second = at + 25_003 + -(-25_003 // 60) + len(">chrM some\n")
     (tmp_path / "r.fa.fai").write_text(f"chr1\t25003\t{at}\t60\t61\nchrM\t4\t{second}\t60\t61\n")
-    assert whole() == want
+    assert whole() == whole(10_000) == whole(20_000) == want
 
 
 def reads_of(n, seed):
