@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The least bin, and how many levels there are; each has bins four times as long as the one before.
-BIN, LEVELS = 64, 15
+#: The least bin, and how many levels there are; each has bins four times as long as the one before. ``LONG_LEVELS`` is for
+#: values of 64 bits, where an interval can be as long as all of them.
+BIN, LEVELS, LONG_LEVELS = 64, 15, 29
 SPAN = ("pos_start", "pos_end")
 TILE_BITS = 16
 
@@ -29,14 +30,14 @@ TILE_BITS = 16
 class _Bins:
     """Keys of bins: the bin's number times 32, plus its level."""
 
-    def __init__(self, least: int):
-        self.bits = max(4, (least - 1).bit_length())
+    def __init__(self, least: int, levels: int = LEVELS):
+        self.bits, self.levels_in_all = max(4, (least - 1).bit_length()), levels
 
     def level(self, start: Column, end: Column) -> Column:
         """The first level whose bins are as long as the interval."""
-        length = end.cast("bigint") - start + 1
+        length = end.cast("double") - start.cast("double") + 1
         # a logarithm, not a list of cases: the code that Spark makes of it stays short enough for the JVM to compile
-        return F.greatest(F.lit(0), F.least(F.lit(LEVELS - 1), F.ceil((F.log2(length) - self.bits) / 2))).cast("int")
+        return F.greatest(F.lit(0), F.least(F.lit(self.levels_in_all - 1), F.ceil((F.log2(length) - self.bits) / 2))).cast("int")
 
     def key(self, position: Column, level: Column) -> Column:
         return F.call_function("shiftright", position.cast("bigint"), (level * 2 + self.bits).cast("int")) * 32 + level
@@ -46,9 +47,9 @@ class _Bins:
 
         A table of 15 short lists, worked out once, so that no row runs a function over an array.
         """
-        every = range(LEVELS)
+        every = range(self.levels_in_all)
         if others is None:
-            return self.levels_of((1 << LEVELS) - 1)
+            return self.levels_of((1 << self.levels_in_all) - 1)
         meets = lambda own: lambda k: (k == own) | ((k > own) & (F.call_function("shiftright", F.col("mask"), k) % 2 == 1))
         return self.mask(others, start, end).select(F.array(*(F.filter(F.array(*map(F.lit, every)), meets(own)) for own in every)).alias("levels")).scalar()
 
@@ -57,9 +58,9 @@ class _Bins:
         bit = F.call_function("shiftleft", F.lit(1), self.level(start, end))
         return df.where(end >= start).agg(F.coalesce(F.bit_or(bit), F.lit(0)).alias("mask"))
 
-    @staticmethod
-    def levels_of(mask: int) -> Column:
-        return F.array(*(F.array(*(F.lit(k) for k in range(own, LEVELS) if k == own or mask >> k & 1)) for own in range(LEVELS)))
+    def levels_of(self, mask: int) -> Column:
+        n = self.levels_in_all
+        return F.array(*(F.array(*(F.lit(k) for k in range(own, n) if k == own or mask >> k & 1)) for own in range(n)))
 
     def repeated(self, df: DataFrame, start: Column, end: Column, levels: Column, level: str, bin_: str) -> DataFrame:
         """``df`` with a row for each bin: the interval's own ``level``, and ``bin_``."""

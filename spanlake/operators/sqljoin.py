@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.operators.intervals import BIN, _Bins
+from spanlake.operators.intervals import BIN, LEVELS, LONG_LEVELS, _Bins
 
 _GREATER = {"GreaterThanOrEqual": False, "GreaterThan": False, "LessThanOrEqual": True, "LessThan": True}
 _WHOLE = {"integer", "long", "short", "byte"}
@@ -75,7 +75,7 @@ class _Planner:
         end2, start1, second = over["right"]
         big = lambda e: self.column(e).cast("bigint")
         ends = lambda a, b, gap: {"low": F.least(a, b) - gap, "high": F.greatest(a, b) + gap}
-        bins = _Bins(BIN)
+        bins = _Bins(BIN, LONG_LEVELS if any(e.dataType().typeName() == "long" for e in (end1, start1, end2, start2)) else LEVELS)
 
         def side(plan, start, end, own_keys, n: int, gap: int) -> DataFrame:
             span = ends(big(start), big(end), gap)

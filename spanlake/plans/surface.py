@@ -26,6 +26,7 @@ from spanlake.sinks.tables import save_by_sample, write_pileup, write_report
 from spanlake.sources import register, text
 from spanlake.sources.bai import write_indexes
 from spanlake.sources.bam import samples
+from spanlake.sources.files import plain
 from spanlake.tables import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,7 +259,7 @@ def src_table_paths(spark, d):
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     spark.sql(f"CREATE TABLE {name} (contig STRING, pos_start INT, sample_id STRING) USING parquet PARTITIONED BY (sample_id) LOCATION '{folder}'")
     spark.sql(f"MSCK REPAIR TABLE {name}")
-    located = session.location(name).replace("file:", "").rstrip("/") == folder.replace("file:", "").rstrip("/")
+    located = plain(session.location(name)).rstrip("/") == plain(folder).rstrip("/")
     found = [(s, bool(own := session.files(name, s)) and all(f"sample_id={s}" in f for f in own), located) for s in session.samples(name)]
     spark.sql(f"DROP TABLE {name}")
     return spark.createDataFrame(found, "sample_id string, own boolean, located boolean")

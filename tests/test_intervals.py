@@ -147,6 +147,9 @@ def test_joins_in_sql(spark):
             assert Counter(map(tuple, got.collect())) == Counter(map(tuple, spark.sql(f"SELECT a.i, b.i AS j FROM sj_a a JOIN sj_b b ON {c}").collect()))
         finally:
             spark.conf.unset(f"spanlake.{setting}")
+    ends = "(SELECT 5L AS s, 9000000000000000000L AS e UNION ALL SELECT -9000000000000000000L, 7L UNION ALL SELECT 20L, 21L)"
+    q = f"SELECT a.s, b.s AS t FROM {ends} a JOIN {ends} b ON a.e >= b.s AND a.s <= b.e"
+    assert rows(ours.sql(q)) == rows(spark.sql(q))
     assert ours.sql("SELECT 'taken FROM coverage(reads, S, ref)' AS x").first().x == "taken FROM coverage(reads, S, ref)"
     with pytest.raises(ValueError, match="arguments"):
         ours.sql("SELECT * FROM coverage('a', 'b')")
