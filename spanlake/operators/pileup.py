@@ -127,7 +127,7 @@ def pileup(reads: DataFrame, reference: DataFrame | None = None, quals: bool = F
     if quals:
         points = events.where(differs).groupBy("contig", F.col("p").alias("pos")).agg(F.char(F.max("ref")).alias("alt_ref"))
         plain = reads.select(plain_contig("contig").alias("contig"), "pos_start", "pos_end", aligned_blocks("pos_start", "cigar").alias("_b"), "seq", "qual", "flag").dropna()
-        at = interval_join(plain, points, right_span=("pos", "pos"), measured=("left",), bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
+        at = interval_join(plain, points, right_span=("pos", "pos"), right_longest=1, bin_size=256).withColumn("_i", F.explode(indices_in_read(F.col("_b"), F.col("pos")))).withColumn("_i", F.col("_i") + 1)
         own = F.upper(F.substring(F.col("seq"), F.col("_i"), F.lit(1)))
         base = F.when((F.col("flag").bitwiseAND(REVERSE) != 0) & (own != F.col("alt_ref")), F.lower(own)).otherwise(own)
         q = F.ascii(F.substring(F.col("qual"), F.col("_i"), F.lit(1))) - 33

@@ -64,6 +64,8 @@ def test_levels(spark):
     want = sorted(x + y for x in a for y in b if x[1] <= y[2] and y[1] <= x[2])
     for measured in (("left", "right"), ("right",), ()):
         assert rows(interval_join(da, db, measured=measured)) == want
+    points = db.withColumn("pos_end", F.col("pos_start"))
+    assert rows(interval_join(da, points, right_longest=1)) == rows(interval_join(da, points, plan="hash"))
     bins = _Bins(64)
     s, e = F.col("pos_start"), F.col("pos_end")
     assert bins.repeated(da.where("pos_start = 1"), s, e, bins.levels(None, s, e), "l", "b").count() <= 60
