@@ -51,7 +51,11 @@ def indices_in_read(blocks: Column, position: Column) -> Column:
     """Array of where in the read (from 0) a reference position stands, by its ``aligned_blocks``: one index, or none in a
     deletion, a skip or outside."""
     at = F.filter(blocks, lambda b: (b["s"] <= position) & (b["e"] >= position))
-    return F.transform(at, lambda b: b["i"] + position - b["s"])
+    all_of = F.transform(at, lambda b: b["i"] + position - b["s"])
+    # most reads are one stretch, which needs no function over an array
+    only = F.get(blocks, F.lit(0))
+    one = F.when((only["s"] <= position) & (only["e"] >= position), F.array(only["i"] + position - only["s"])).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(blocks) == 1, one).otherwise(all_of)
 
 
 def cigar_ops(cigar: str | None) -> list[tuple[int, str]]:
