@@ -16,6 +16,8 @@ from spanlake.functions.contigs import plain_contig
 from spanlake.operators.intervals import interval_join
 
 TILE_BITS = 16
+#: Blocks are cut at multiples of so many positions (as a power of two) where they are joined with targets.
+PIECE_BITS = 10
 #: Reads with one of these flags are left out: unmapped, secondary, failed the checks, duplicate.
 FILTER_FLAG = 1796
 
@@ -107,9 +109,17 @@ def windows(blocks: DataFrame, size: int, by: tuple[str, ...] = ("contig",)) ->
 
 
 def target_depth(blocks: DataFrame, targets: DataFrame, name: str = "name", above: float | None = None) -> DataFrame:
-    """``contig``, the target's ``name``, and covered bases, least, mean and greatest depth over its covered bases; with ``above`` only targets of a greater mean depth."""
+    """``contig``, the target's ``name``, and covered bases, least, mean and greatest depth over its covered bases; with ``above`` only targets of a greater mean depth.
+
+    Long blocks are cut, which changes none of these: so a target stands in the bins of few levels, without the blocks being
+    worked out twice to learn their lengths.
+    """
     t = targets.select("contig", F.col("pos_start").alias("_ts"), F.col("pos_end").alias("_te"), F.col(name).alias("name"))
-    j = interval_join(blocks.select("contig", "pos_start", "pos_end", "coverage"), t, right_span=("_ts", "_te"), measured=("right",))
+    size = 1 << PIECE_BITS
+    first, last = (F.shiftright(c, PIECE_BITS) for c in ("pos_start", "pos_end"))
+    pieces = blocks.select("contig", "pos_start", "pos_end", "coverage", F.explode(F.sequence(first, last)).alias("_k"))
+    pieces = pieces.select("contig", F.greatest("pos_start", F.col("_k") * size).alias("pos_start"), F.least("pos_end", F.col("_k") * size + (size - 1)).alias("pos_end"), "coverage")
+    j = interval_join(pieces, t, right_span=("_ts", "_te"), measured=("right",), left_longest=size, shuffled=True)
     n = (F.least("pos_end", "_te") - F.greatest("pos_start", "_ts") + 1).cast("bigint")
     out = j.groupBy("contig", "name", "_ts", "_te").agg(
         F.sum(n).alias("n_bases"), F.min("coverage").alias("min_depth"), (F.sum(n * F.col("coverage")) / F.sum(n)).alias("mean_depth"), F.max("coverage").alias("max_depth")

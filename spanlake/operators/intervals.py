@@ -85,6 +85,7 @@ def _renamed(left: DataFrame, right: DataFrame, suffix: str) -> dict[str, str]:
 def interval_join(
     left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[tuple[str, str]] = ("contig",), how: str = "inner", left_span: tuple[str, str] = SPAN, right_span: tuple[str, str] = SPAN,
     min_overlap: int = 1, max_gap: int = 0, plan: str = "binned", bin_size: int = BIN, broadcast_right: bool = False, suffix: str = "_right", measured: tuple[str, ...] = ("left", "right"), right_longest: int | None = None,
+    left_longest: int | None = None, shuffled: bool = False,
 ) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal keys whose intervals share ``min_overlap`` positions, or lie at most ``max_gap`` apart.
 
@@ -92,8 +93,9 @@ def interval_join(
     left_anti. A right column whose name the left has gets ``suffix``. Repeated rows stay repeated. A null key or bound,
     or an inverted interval, matches nothing (outer and anti joins keep its row). With a ``max_gap`` above 0 and
     ``min_overlap`` 1 the intervals needn't overlap. Empty tables give what SQL gives. ``bin_size`` is the least bin;
-    sides that aren't in ``measured`` are taken to have intervals of every length, or of up to ``right_longest`` positions on
-    the right, where the caller knows it (1 for points).
+    sides that aren't in ``measured`` are taken to have intervals of every length, or of up to ``left_longest`` and
+    ``right_longest`` positions, where the caller knows it (1 for points). ``shuffled`` keeps Spark from broadcasting a side
+    by the size of its files, which says little of its rows in bins.
     """
     if how not in ("inner", "left", "right", "full", "left_semi", "left_anti"):
         raise ValueError(f"how: {how}")
@@ -110,25 +112,25 @@ def interval_join(
     fits = (e1 + max_gap >= s2) & (s1 - max_gap <= e2) & (s1 <= e1)
     if min_overlap > 1:
         fits &= F.least(e1, e2) - F.greatest(s1, s2) + 1 >= min_overlap
-    hinted = F.broadcast if broadcast_right else lambda df: df
+    hinted = F.broadcast if broadcast_right else lambda df: df.hint("merge") if shuffled else df
     equal = [F.col(a) == F.col(b) for a, b in pairs]
     if plan == "hash":
         condition = fits & (e2 >= s2)
         for e in equal:
             condition = e & condition
         return left.join(hinted(right if how in ("inner", "left", "left_semi", "left_anti") else every), condition, how)
-    same = {"left_span": left_span, "right_span": span2, "min_overlap": min_overlap, "max_gap": max_gap, "bin_size": bin_size, "broadcast_right": broadcast_right, "measured": measured, "right_longest": right_longest}
+    same = {"left_span": left_span, "right_span": span2, "min_overlap": min_overlap, "max_gap": max_gap, "bin_size": bin_size, "broadcast_right": broadcast_right, "measured": measured, "right_longest": right_longest, "left_longest": left_longest, "shuffled": shuffled}
     if how in ("left", "right", "full"):
         out = interval_join(left, every, pairs, **same)
         if how != "right":
             out = out.unionByName(interval_join(left, every, pairs, "left_anti", **same), allowMissingColumns=True)
         if how != "left":
-            turned = same | {"left_span": span2, "right_span": left_span, "broadcast_right": False, "right_longest": None, "measured": tuple({"left": "right", "right": "left"}[m] for m in measured)}
+            turned = same | {"left_span": span2, "right_span": left_span, "broadcast_right": False, "right_longest": None, "left_longest": None, "measured": tuple({"left": "right", "right": "left"}[m] for m in measured)}
             out = out.unionByName(interval_join(every, left, [(b, a) for a, b in pairs], "left_anti", **turned), allowMissingColumns=True)
         return out
     bins = _Bins(bin_size)
     from2, to2 = s2.cast("bigint") - max_gap, e2.cast("bigint") + max_gap
-    levels1 = bins.levels(left if "left" in measured else None, s1, e1)
+    levels1 = bins.levels(left if "left" in measured else None, s1, e1) if left_longest is None else bins.levels_of((2 << bins.level_of(left_longest)) - 1)
     levels2 = bins.levels(right if "right" in measured else None, from2, to2) if right_longest is None else bins.levels_of((2 << bins.level_of(right_longest + 2 * max_gap)) - 1)
     # the keys and the bin are one number, which joins faster; the condition tests the keys themselves
     place1, place2 = (F.xxhash64(*(F.col(p[i]) for p in pairs), F.col(c)) for i, c in ((0, "_bin1"), (1, "_bin2")))

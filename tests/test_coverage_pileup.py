@@ -26,6 +26,25 @@ def test_blocks(spark):
     assert rows(target_depth(coverage(df), t)) == [("1", "a", 4, 21, 7, 1, 10 / 7, 3)]
 
 
+def test_targets_stand_in_few_bins(spark, tmp_path):
+    """Long blocks give what their positions give; a small file of targets isn't broadcast with a row for every level."""
+    rng = random.Random(3)
+    cuts = sorted(rng.sample(range(-3000, 9000), 40)) + [2**31 - 5000, 2**31 - 1]
+    blocks = [("1", a, b - (b < 2**31 - 1), rng.randint(1, 9)) for a, b in zip(cuts, cuts[1:], strict=False) if b - a < 9000]
+    spans = [(s := rng.randint(-4000, 9000), s + rng.choice([0, 5, 70, 1023, 1024, 4000])) for _ in range(80)] + [(2**31 - 3000, 2**31 - 1), (-3000, 2**31 - 1)]
+    b = spark.createDataFrame([*blocks, ("1", 5000, 100, 3), (None, 1, 9, 3), ("1", None, 9, 3)], "contig string, pos_start int, pos_end int, coverage int")
+    spark.createDataFrame([("1", s, e, str(i)) for i, (s, e) in enumerate(spans)], "contig string, pos_start int, pos_end int, name string").write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    want = []
+    for i, (s, e) in enumerate(spans):
+        if own := [(min(e, y) - max(s, x) + 1, d) for _, x, y, d in blocks if x <= e and y >= s]:
+            n = sum(k for k, _ in own)
+            want.append(("1", str(i), s, e, n, min(d for _, d in own), sum(k * d for k, d in own) / n, max(d for _, d in own)))
+    assert rows(target_depth(b, t)) == sorted(want)
+    plan = target_depth(b, t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_tiles(spark):
     rng = random.Random(2)
     spans = [(s := rng.randint(1, 400_000), s + rng.choice([1, 3, 90, 80_000])) for _ in range(300)] + [(65_536, 65_540), (131_070, 131_072)]
