@@ -8,6 +8,8 @@ groups don't grow with a whole contig, and the longest interval is some tens of
 over two of its columns, worked out with the query; a side that is costly to make twice can be left unmeasured.
 
 ``hash`` joins on the keys alone with the overlap as a residual, which is less work where the groups of a key are small.
+How large they are on the right is asked for when it is planned; where a key has more than some tens of rows, its work
+would grow with the product of both groups, and the bins are taken.
 Which side is broadcast, and what is skewed, Spark decides by the measured sizes; ``broadcast_right`` asks for it where
 the caller knows a bound.
 
@@ -23,6 +25,9 @@ from pyspark.sql import functions as F
 #: The least bin, and how many levels there are; each has bins four times as long as the one before. ``LONG_LEVELS`` is for
 #: values of 64 bits, where an interval can be as long as all of them.
 BIN, LEVELS, LONG_LEVELS = 64, 15, 29
+#: ``hash``: the most rows of a key on the right for which it joins on the keys alone, and of all keys for which a right side in
+#: bins may be broadcast.
+GROUP, FEW = 64, 100_000
 SPAN = ("pos_start", "pos_end")
 TILE_BITS = 16
 
@@ -82,18 +87,26 @@ def _renamed(left: DataFrame, right: DataFrame, suffix: str) -> dict[str, str]:
     return out
 
 
+def _group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """The most rows of ``df`` with equal keys, and all its rows; those with a null key don't count."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    most, total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n"), F.sum("_n")).first()
+    return most or 0, total or 0
+
+
 def interval_join(
     left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[tuple[str, str]] = ("contig",), how: str = "inner", left_span: tuple[str, str] = SPAN, right_span: tuple[str, str] = SPAN,
     min_overlap: int = 1, max_gap: int = 0, plan: str = "binned", bin_size: int = BIN, broadcast_right: bool = False, suffix: str = "_right", measured: tuple[str, ...] = ("left", "right"), right_longest: int | None = None,
-    left_longest: int | None = None, shuffled: bool = False,
+    left_longest: int | None = None, shuffled: bool = False, levels: int = LEVELS,
 ) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal keys whose intervals share ``min_overlap`` positions, or lie at most ``max_gap`` apart.
 
     ``keys`` are names, or pairs of names where they differ; none is allowed. ``how``: inner, left, right, full, left_semi,
     left_anti. A right column whose name the left has gets ``suffix``. Repeated rows stay repeated. A null key or bound,
     or an inverted interval, matches nothing (outer and anti joins keep its row). With a ``max_gap`` above 0 and
-    ``min_overlap`` 1 the intervals needn't overlap. Empty tables give what SQL gives. ``bin_size`` is the least bin;
-    sides that aren't in ``measured`` are taken to have intervals of every length, or of up to ``left_longest`` and
+    ``min_overlap`` 1 the intervals needn't overlap. Empty tables give what SQL gives. ``bin_size`` is the least bin, of
+    ``levels`` sizes; sides that aren't in ``measured`` are taken to have intervals of every length, or of up to ``left_longest`` and
     ``right_longest`` positions, where the caller knows it (1 for points). ``shuffled`` keeps Spark from broadcasting a side
     by the size of its files, which says little of its rows in bins.
     """
@@ -112,6 +125,11 @@ def interval_join(
     fits = (e1 + max_gap >= s2) & (s1 - max_gap <= e2) & (s1 <= e1)
     if min_overlap > 1:
         fits &= F.least(e1, e2) - F.greatest(s1, s2) + 1 >= min_overlap
+    kinds = {kind for _, kind in [*left.select(s1, e1).dtypes, *every.select(s2, e2).dtypes]}
+    if plan == "hash" and kinds <= {"tinyint", "smallint", "int", "bigint"} and not left.isStreaming and not right.isStreaming:
+        most, total = _group_sizes(right, [b for _, b in pairs])
+        if most > GROUP:
+            plan, levels, shuffled = "binned", LONG_LEVELS if "bigint" in kinds else LEVELS, shuffled or total > FEW
     hinted = F.broadcast if broadcast_right else lambda df: df.hint("merge") if shuffled else df
     equal = [F.col(a) == F.col(b) for a, b in pairs]
     if plan == "hash":
@@ -119,7 +137,7 @@ def interval_join(
         for e in equal:
             condition = e & condition
         return left.join(hinted(right if how in ("inner", "left", "left_semi", "left_anti") else every), condition, how)
-    same = {"left_span": left_span, "right_span": span2, "min_overlap": min_overlap, "max_gap": max_gap, "bin_size": bin_size, "broadcast_right": broadcast_right, "measured": measured, "right_longest": right_longest, "left_longest": left_longest, "shuffled": shuffled}
+    same = {"left_span": left_span, "right_span": span2, "min_overlap": min_overlap, "max_gap": max_gap, "bin_size": bin_size, "broadcast_right": broadcast_right, "measured": measured, "right_longest": right_longest, "left_longest": left_longest, "shuffled": shuffled, "levels": levels}
     if how in ("left", "right", "full"):
         out = interval_join(left, every, pairs, **same)
         if how != "right":
@@ -128,7 +146,7 @@ def interval_join(
             turned = same | {"left_span": span2, "right_span": left_span, "broadcast_right": False, "right_longest": None, "left_longest": None, "measured": tuple({"left": "right", "right": "left"}[m] for m in measured)}
             out = out.unionByName(interval_join(every, left, [(b, a) for a, b in pairs], "left_anti", **turned), allowMissingColumns=True)
         return out
-    bins = _Bins(bin_size)
+    bins = _Bins(bin_size, levels)
     from2, to2 = s2.cast("bigint") - max_gap, e2.cast("bigint") + max_gap
     levels1 = bins.levels(left if "left" in measured else None, s1, e1) if left_longest is None else bins.levels_of((2 << bins.level_of(left_longest)) - 1)
     levels2 = bins.levels(right if "right" in measured else None, from2, to2) if right_longest is None else bins.levels_of((2 << bins.level_of(right_longest + 2 * max_gap)) - 1)

@@ -47,6 +47,35 @@ def test_both_plans_as_brute_force(spark, how, overlap, gap):
         assert rows(interval_join(a, b, how=how, min_overlap=overlap, max_gap=gap, plan=plan, bin_size=64)) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full", "left_semi", "left_anti"])
+def test_hash_takes_bins_where_groups_are_large(spark, how):
+    """Else each row would be tested with all rows of its key."""
+    rng = random.Random(8)
+
+    def some(n, far):
+        own = [(rng.choice(["1", "1", None]), s := rng.choice([None, rng.randint(-far, far)]), None if s is None else s + rng.choice([-3, 0, 90, far]), i) for i in range(n)]
+        return [*own, ("1", 0, 5, n), ("2", -far, far, n)]
+
+    for far, kind in ((3000, "int"), (2**50, "long")):
+        a, b = (spark.createDataFrame(some(n, far), f"contig string, pos_start {kind}, pos_end {kind}, n int") for n in (300, 400))
+        b2 = b.toDF("c", "s", "e", "m")
+        overlap = (a.pos_end >= b2.s) & (a.pos_start <= b2.e) & (a.pos_start <= a.pos_end) & (b2.s <= b2.e)
+        for keys, met in [(["contig"], overlap & (a.contig == b2.c)), ([], overlap)][: 1 + (how == "inner")]:
+            df = interval_join(a, b, keys, how, plan="hash")
+            assert rows(df) == rows(a.join(b2, met, how))
+            assert "_place1" in df._jdf.queryExecution().analyzed().toString()
+        few = interval_join(a, b.limit(60), how=how, plan="hash")
+        assert "_place1" not in few._jdf.queryExecution().analyzed().toString()
+
+
+def test_hash_shuffles_many_rows_in_bins(spark, tmp_path):
+    df = spark.range(120_000).selectExpr("'1' AS contig", "CAST(id AS INT) AS pos_start", "CAST(id + 1 AS INT) AS pos_end")
+    df.write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert "Broadcast" not in interval_join(t, t, plan="hash")._jdf.queryExecution().executedPlan().toString()
+    assert interval_join(t, t, plan="hash").count() == 3 * 120_000 - 2
+
+
 def test_empty_and_counts(spark):
     a = spark.createDataFrame([("1", 1, 10), ("1", 5, 6)], "contig string, pos_start int, pos_end int")
     assert interval_join(a, a.limit(0)).count() == 0
